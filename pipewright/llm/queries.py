@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding, urls
+from . import mixing, quality, sharding, tokenfiles, urls
 
 QUERIES = {
     "op1_filter_urls": urls.op1_filter_urls,
+    "op3_token_files": tokenfiles.op3_token_files,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op5_shard_documents": sharding.op5_shard_documents,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
