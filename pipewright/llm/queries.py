@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, tokenfiles, urls
+from . import decontaminate, languages, mixing, quality, secrets, sharding, tokenfiles, urls
 
 QUERIES = {
     "op1_filter_urls": urls.op1_filter_urls,
+    "op2_scan_secrets": secrets.op2_scan_secrets,
     "op3_token_files": tokenfiles.op3_token_files,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_shard_documents": sharding.op5_shard_documents,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op10_identify_languages": languages.op10_identify_languages,
 }
 ORACLES: dict[str, str] = {}
