@@ -21,6 +21,8 @@ RULES = [
 ]
 #: Rules up to this number are broadcast (some 100 bytes each); more are joined by a shuffle.
 MAX_BROADCAST_RULES = 100_000
+#: Into so many deals the pages of a host are split for the join with what was found for it.
+DEALS = 64
 
 
 def url_parts(url):
@@ -57,6 +59,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     host, path = url_parts(F.col(url))
     pages = pages.drop("host", "path", "rule", "verdict").withColumns({"host": host, "path": path})
     pages = pages.withColumn("_stem", F.left(F.col("path"), F.lit(longest)))
+    salt = [c for c, kind in pages.dtypes if kind in ("bigint", "int", "string")]
     targets = pages.select("host", "_stem").distinct()
     labels = F.split(F.col("host"), r"\.", -1)
     suffixes = F.transform(
@@ -69,9 +72,12 @@ def filter_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     found = pairs.join(F.broadcast(known) if count <= MAX_BROADCAST_RULES else known, "_prefix").where("_full = _digest")
     best = F.max(F.struct("_len", "_hostlen", F.col("action") == "block", "rule", "action"))
     found = found.groupBy("host", "_stem").agg(best.alias("_best"))
-    out = pages.join(found, ["host", "_stem"], "left")
+    # A host may hold most rows: its pages are dealt by their URLs too, and each result goes to every deal.
+    pages = pages.withColumn("_deal", F.pmod(F.xxhash64(*salt), F.lit(DEALS)))
+    found = found.withColumn("_deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALS - 1).cast("long"))))
+    out = pages.join(found, ["host", "_stem", "_deal"], "left")
     out = out.withColumns({"rule": F.col("_best.rule"), "verdict": F.coalesce("_best.action", F.lit(default))})
-    return out.drop("_stem", "_best")
+    return out.drop("_stem", "_best", "_deal")
 
 
 def op1_filter_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
