@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, hash_bucket, partitions, ranked, source_key, table
+from .common import WORD, hash_bucket, materialise, partitions, ranked, source_key, table
 
 KEY = ["_null", "_src"]
 
@@ -115,4 +115,5 @@ def mix(
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed at 5, 2, 1 in turn to 150 % of their words, no source over twice its size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("_n"))
+    docs = materialise(docs, "mix")  # counting words costs most, so it is done once
     return mix(docs, size="_n").select("doc_id", "size", "source_size", "target", "taken", "first_slot")
