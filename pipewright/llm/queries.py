@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, languages, mixing, quality, secrets, sharding, simhash, tokenfiles, urls
+from . import decontaminate, languages, mixing, quality, secrets, sharding, simhash, substrings, tokenfiles, urls
 
 QUERIES = {
     "op1_filter_urls": urls.op1_filter_urls,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_shard_documents": sharding.op5_shard_documents,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_substring_dedup": substrings.op8_substring_dedup,
     "op9_simhash_components": simhash.op9_simhash_components,
     "op10_identify_languages": languages.op10_identify_languages,
 }
