@@ -112,6 +112,18 @@ def mix(
     return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop(*KEY, "_rank")
 
 
+def draw(df: DataFrame, **options) -> DataFrame:
+    """The rows of ``df`` as often as ``mix`` takes them, in whole documents: taken over size, halves rounded up."""
+    columns = df.columns
+    sized = materialise(df.withColumn("_n", n_words(F.col(options.get("text", "text")))), "mix")
+    # columns whose names clash with those of the mix travel packed
+    packed = sized.select(F.struct(*columns).alias("_row"), *dict.fromkeys([options.get("source", "source"), options.get("key", "doc_id")]), "_n")
+    mixed = mix(packed, size="_n", **options)
+    copies = F.expr("case when taken > 0 then cast(floor(taken / size + 0.5D) as int) else 0 end")
+    drawn = mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
+    return drawn.select("_row.*")
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, mixed at 5, 2, 1 in turn to 150 % of their words, no source over twice its size."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words(F.col("text")).alias("_n"))

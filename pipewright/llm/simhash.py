@@ -237,6 +237,15 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(sums)
 
 
+def labelled(marked: DataFrame, key: str, distance: int) -> DataFrame:
+    """(``_fp``, ``component_id``) for each fingerprint of ``marked``, written to the shared folder: a plain scan, so that a
+    join with it can be split where a fingerprint is frequent."""
+    nodes = materialise(marked.groupBy("_fp").agg(F.min(F.col(key).cast("long")).alias("node")), "nodes")
+    found = components(links(nodes.where("node is not null"), distance))
+    labels = nodes.join(found, "node", "left").select("_fp", F.coalesce("component", "node").alias("component_id"))
+    return materialise(labels, "labels")
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, keep_text: bool = False) -> DataFrame:
     """Add ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest key reachable over links of at most ``distance``
     differing bits, its own included) to each row.
@@ -246,16 +255,24 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     what their texts say. An empty table stays empty. ``keep_text=False`` drops the text; other columns pass through,
     columns of the names above are replaced, and names beginning with ``_`` are reserved.
     """
-    df = df.drop("fingerprint", "component_id")
-    marked = materialise(with_fingerprints(df, text, keep_text), "fingerprints")
-    nodes = materialise(marked.groupBy("_fp").agg(F.min(F.col(key).cast("long")).alias("node")), "nodes")
-    found = components(links(nodes.where("node is not null"), distance))
-    # one row for each fingerprint, written, so that the join below reads it plainly and can be split where it is skewed
-    labels = nodes.join(found, "node", "left").select("_fp", F.coalesce("component", "node").alias("component_id"))
-    out = marked.join(materialise(labels, "labels"), "_fp")
+    marked = materialise(with_fingerprints(df.drop("fingerprint", "component_id"), text, keep_text), "fingerprints")
+    out = marked.join(labelled(marked, key, distance), "_fp")
     return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp")
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """The row of the smallest key of each component; of repeated rows one. Components whose keys are all null are told apart
+    by fingerprint. Columns stay as they are; names beginning with ``_`` are reserved."""
+    rows = df.withColumn("_row", F.monotonically_increasing_id())
+    marked = materialise(with_fingerprints(rows, text, keep_text=True), "fingerprints")  # here row numbers become fixed
+    labels = labelled(marked, key, distance)
+    small = marked.select("_row", "_fp", F.col(key).alias("_key")).join(labels, "_fp")
+    small = small.withColumn("_alone", F.when(F.col("component_id").isNull(), F.col("_fp")))
+    first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row"))
+    kept = small.groupBy("component_id", "_alone").agg(first.alias("first")).select("first._row")
+    return marked.join(kept, "_row", "left_semi").drop("_row", "_fp")
+
+
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' fingerprints and components."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
