@@ -36,9 +36,9 @@ from .common import materialise, partitions, scratch, table
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text in a block, hashed at once, and in a suffix array.
-BLOCK_BYTES, PIECE_BYTES, SHARD_BYTES = 8 << 20, 2 << 20, 1 << 20
+BLOCK_BYTES, PIECE_BYTES, SHARD_BYTES = 4 << 20, 1 << 20, 192 << 10
 #: Different segments of one anchor that go to one suffix array.
-LARGE = 4096
+LARGE = 512
 ROW_BITS = 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE = np.uint64((1 << 24) - 1)
@@ -502,15 +502,19 @@ def cut(found: DataFrame, folder: str, length: int) -> DataFrame:
 
         def done() -> None:
             d = document & (1 << ROW_BITS) - 1
-            text, starts = blocks.text(d), blocks.anchors(d)[0]
-            edge = np.zeros(len(text) + 1, np.int64)
-            for at, first, last in marks:
-                edge_first = starts[at] + np.array(first, np.int64)
-                np.add.at(edge, edge_first, 1)
-                np.add.at(edge, starts[at] + np.array(last, np.int64) + length - 1, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append({"block": block, "same": d, "n_removed": int(gone.sum()), "n_spans": len(ranges(gone)[0]), "kept_sha256": hashlib.sha256(kept).hexdigest()})
+            text, starts = memoryview(blocks.text(d)), blocks.anchors(d)[0]
+            low = np.concatenate([starts[at] + np.array(x, np.int64) for at, x, _ in marks])
+            high = np.concatenate([starts[at] + np.array(x, np.int64) for at, _, x in marks]) + length - 1
+            order = np.argsort(low, kind="stable")
+            low, high = low[order], np.maximum.accumulate(high[order])
+            new = np.concatenate([[True], low[1:] > high[:-1]])  # runs that touch are one
+            low, high = low[new], high[np.append(np.flatnonzero(new)[1:] - 1, len(high) - 1)]
+            kept, at = hashlib.sha256(), 0
+            for a, b in zip(low.tolist(), high.tolist(), strict=True):
+                kept.update(text[at:a])
+                at = b
+            kept.update(text[at:])
+            out.append({"block": block, "same": d, "n_removed": int((high - low).sum()), "n_spans": len(low), "kept_sha256": kept.hexdigest()})
 
         columns = [rows[c].to_pylist() for c in ("row", "at", "first", "last")]
         for row, at, first, last in zip(*columns, strict=True):
