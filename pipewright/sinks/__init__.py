@@ -1 +1 @@
-
+"""Results as text or files."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv as pycsv
 import io
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,8 +42,6 @@ def converted(t: Column, kind: str) -> Column:
 
 def widths(delim: str):
     """How many cells a line has, for lines that the reader found uneven; an Arrow-batched function."""
-    import pandas as pd
-
     @F.pandas_udf(T.IntegerType())
     def count(lines: pd.Series) -> pd.Series:
         return lines.map(lambda x: None if x is None else len(next(pycsv.reader([x], delimiter=delim, skipinitialspace=True), [])))
@@ -125,8 +124,8 @@ class CsvSource(Prepared):
             bad = have > want if o.allow_jagged_rows else have < want
         else:
             bad = broken.isNotNull()
-        message = F.concat(F.lit(f"{shard.path}: a row does not have {len(shard.columns)} cells: "), F.substring(broken, 1, 200))
-        # the check is part of a filter, so no projection can prune it
+        message = F.concat(F.lit(f"{shard.path}: a row does not have {len(shard.columns)} cells: "), F.substring(broken, 1, 200), F.substring(F.coalesce("c0", F.lit("")), 1, 0))
+        # the check is part of a filter, so no projection can prune it; it names a cell, as Spark's reader demands
         return df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
     def quoted_lines(self, shard: Shard) -> bool:

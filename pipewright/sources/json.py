@@ -11,6 +11,7 @@ import pickle
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -188,7 +189,7 @@ class JsonSource(Prepared):
                         except (Bad, TypeConflict):
                             bad += 1
             if at:
-                yield pa.RecordBatch.from_pydict({"file": pa.array([at[0]], pa.int32()), "row": [at[1]], "type": pa.array([pickle.dumps(t)], pa.binary()), "bad": pa.array([bad], pa.int64())})
+                yield pa.RecordBatch.from_pydict({"file": pa.array([at[0]], pa.int32()), "row": [at[1]], "type": pa.array([cloudpickle.dumps(t)], pa.binary()), "bad": pa.array([bad], pa.int64())})
 
         found = self.all_texts().mapInArrow(run, "file int, row long, type binary, bad long").orderBy("file", "row").collect()
         t, bad = None, sum(r["bad"] for r in found)
