@@ -113,15 +113,18 @@ def mix(
 
 
 def draw(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` as often as ``mix`` takes them, in whole documents: taken over size, halves rounded up."""
+    """The rows of ``df`` as often as ``mix`` takes them, in whole documents: taken over size, halves rounded up.
+
+    Only keys, sources and sizes go through the mix; the rows themselves are shuffled once, to meet their number of copies.
+    """
     columns = df.columns
-    sized = materialise(df.withColumn("_n", n_words(F.col(options.get("text", "text")))), "mix")
-    # columns whose names clash with those of the mix travel packed
-    packed = sized.select(F.struct(*columns).alias("_row"), *dict.fromkeys([options.get("source", "source"), options.get("key", "doc_id")]), "_n")
-    mixed = mix(packed, size="_n", **options)
-    copies = F.expr("case when taken > 0 then cast(floor(taken / size + 0.5D) as int) else 0 end")
-    drawn = mixed.where(copies > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), copies)))
-    return drawn.select("_row.*")
+    words = n_words(F.col(options.get("text", "text")))
+    rows = materialise(df.select("*", words.alias("_n"), F.monotonically_increasing_id().alias("_row")), "mix")  # fixes the numbers
+    narrow = rows.select("_row", *dict.fromkeys([options.get("source", "source"), options.get("key", "doc_id")]), "_n")
+    copies = F.expr("case when taken > 0 then cast(floor(taken / size + 0.5D) as int) else 0 end").alias("_copies")
+    drawn = mix(narrow, size="_n", **options).select("_row", copies).where("_copies > 0")
+    out = rows.join(drawn, "_row").withColumn("_copy", F.explode(F.expr("sequence(1, _copies)")))
+    return out.select(*columns)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,14 +139,16 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, tolerance:
 def judge(df: DataFrame, text: str = "text", votes: dict[str, str] | None = None, keep_text: bool = True) -> DataFrame:
     """Add FEATURES, ``quality`` (posterior probability of good), ``base_failed`` and ``kept`` to each row.
 
-    Kept: the base rules hold and good is at least as likely as not. Null and empty texts have no words and fail. The
-    rows with their features are written to the shared folder once (``keep_text=False``: without the text), then counted
-    and judged.
+    Kept: the base rules hold and good is at least as likely as not. Null and empty texts have no words and fail.
+    ``keep_text=False`` drops the text and writes the features to the shared folder; with texts they are computed once
+    to count votes and once to judge, which costs less than a copy of the corpus.
     An empty table stays empty. Columns of the names above are replaced; names beginning with ``_`` are reserved.
     """
     votes = votes or VOTES
     spark = df.sparkSession
-    marks = materialise(with_features(df.drop("quality", "base_failed", "kept"), text, keep_text), "quality")
+    marks = with_features(df.drop("quality", "base_failed", "kept"), text, keep_text)
+    if not keep_text:
+        marks = materialise(marks, "quality")
     pattern = F.concat_ws(",", *[F.coalesce(F.expr(sql), F.lit(-1)).cast("string") for sql in votes.values()])
     marks = marks.withColumn("_pattern", pattern)
     found = marks.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
