@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ CACHE_PIECES, CACHE_LENGTH, STRETCH = 300_000, 48, 1 << 20
 # The tokenizer's rule for pieces, the same for lower-case characters up to U+024F, and what is outside of that.
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
+# The letters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others from U+0100 on.
+BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 UNUSUAL = re.compile("[^\t\n\r -~¡-įı-ɏ]")
 MANIFEST = "part int, path string, docs long, tokens long"
 
@@ -124,6 +128,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         with open(tokenizer_path, encoding="utf-8") as file:
             made = json.load(file)
         split = ((made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}])[0]
@@ -132,11 +137,12 @@ class PieceEncoder:
         self.cache: dict[str, bytes] = {}
 
     def fresh(self, piece: str) -> bytes:
-        if piece.isascii():
-            ids = [x.id for x in self.tokenizer.model.tokenize(piece)]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(BYTE_LETTERS)
+        out = array("I", [x.id for x in self.model.tokenize(piece)])
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def __call__(self, text: str) -> np.ndarray:
         if not self.known_make or UNUSUAL.search(text) or any(x in text for x in self.special):
