@@ -58,6 +58,8 @@ class Trees:
 
     def __init__(self, texts: dict[str, list[bytes]]):
         self.languages = sorted(texts)
+        if not texts:  # nothing to learn from
+            return
         pad = b"\n" * ORDER
         streams = [np.frombuffer(b"".join(pad + t for t in texts[k]) or pad, np.uint8) for k in self.languages]
         seen = np.unique(np.concatenate(streams))

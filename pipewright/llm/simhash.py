@@ -125,7 +125,7 @@ def group_pairs(group: np.ndarray, prints: np.ndarray, role: np.ndarray, start:
     if whole.any():
         rows = np.flatnonzero(whole)
         k = key[rows]
-        for flip in [0, *(1 << b for b in range(bits if distance else 0))]:
+        for flip in [0, *(1 << b for b in range(bits))]:
             goal = k ^ flip
             left, right = np.searchsorted(k, goal, "left"), np.searchsorted(k, goal, "right")
             for i, j in expand(left, right):
@@ -148,6 +148,8 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     """(u, v), v < u: stars that link the nodes (``_fp``, ``node``) whose fingerprints are near; as many rows as fingerprints
     in a group at most."""
     spark, segments = nodes.sparkSession, ring(distance)
+    if distance == 0:  # nodes differ, so nothing is linked
+        return spark.createDataFrame([], "u long, v long")
     cut = lambda i: F.shiftrightunsigned("_fp", segments[i % len(segments)][0]).bitwiseAND(F.lit((1 << segments[i % len(segments)][1]) - 1))
     parts = F.array(*[F.struct(F.lit(i).alias("seg"), cut(i).alias("block"), cut(i + 1).alias("second")) for i in range(len(segments))])
     keyed = nodes.select("_fp", "node", F.explode(parts).alias("p")).select("_fp", "node", "p.*")
@@ -155,7 +157,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     limit = max(LARGE, LARGE_TIMES * total // (1 << segments[0][1]))
     large = keyed.groupBy("seg", "block").count().where(F.col("count") > limit).select("seg", "block", F.lit(True).alias("large"))
     large = materialise(large, "simhash-large")
-    if distance and large.limit(1).count():  # seldom: then at most total / limit groups for each segment
+    if large.limit(1).count():  # seldom: then at most total / limit groups for each segment
         keyed = keyed.join(large, ["seg", "block"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
         flips = F.when(
             F.col("large"),

@@ -551,7 +551,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     twins = docs.groupBy("block", "same").count().where("count > 1").select("block", "same")
     merged = segments.groupBy("hash", "digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "at")).alias("one"), F.first("windows").alias("windows"))
     merged = materialise(merged, "substrings-merged")
-    different = merged.groupBy("hash").agg(F.count(F.lit(1)).alias("different")).where("different > 1")
+    different = materialise(merged.groupBy("hash").agg(F.count(F.lit(1)).alias("different")).where("different > 1"), "substrings-different")
     chosen = merged.join(different, "hash").select("one.row", "one.at", "hash", "digest", "different")
     texts = segment_texts(chosen, folder, length)
     found = shard_ranges(texts.where(F.col("different") <= large), length)

@@ -35,12 +35,12 @@ INDEX_FRAME, SEEK_FRAME, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_KEY = -(1 << 63)
 #: Entries of the cache of encoded pieces, the longest piece that it keeps, and characters cut at a time.
 CACHE_PIECES, CACHE_LENGTH, STRETCH = 300_000, 48, 1 << 20
-# The tokenizer's rule for pieces, the same for lower-case characters up to U+024F, and what is outside of that.
+# The tokenizer's rule for pieces, the same for lower-case characters up to U+017F, and what is outside of that.
 SPLIT_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ɏ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ɏ²³¹¼-¾]+")
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ſ]+|[0-9²³¹¼-¾]|[^\\s0-9a-zªµºß-öø-ſ²³¹¼-¾]+")
 # The letters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others from U+0100 on.
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
-UNUSUAL = re.compile("[^\t\n\r -~¡-įı-ɏ]")
+UNUSUAL = re.compile("[^\t\n\r -~¡-įı-ſ]")
 MANIFEST = "part int, path string, docs long, tokens long"
 
 
@@ -117,7 +117,7 @@ class Reader:
 class PieceEncoder:
     """The ids of texts, piece by piece with a bounded cache.
 
-    Nearly all of the library's time goes into cutting texts into pieces. Texts of letters up to U+024F, for which its
+    Nearly all of the library's time goes into cutting texts into pieces. Texts of letters up to U+017F, for which its
     normalizer only lower-cases, are cut here instead (PIECES are its rules for these characters) and each new piece goes to
     its BPE model; all other texts, and tokenizers of another make, go to the library whole. A test holds both against it.
     """
