@@ -1,0 +1,78 @@
+import pytest
+
+from pipewright.api import plan, run
+from pipewright.errors import PlanError
+from pipewright.plans.names import side_name, unique
+
+
+@pytest.fixture(scope="module")
+def folder(tmp_path_factory):
+    d = tmp_path_factory.mktemp("join")
+    (d / "users.csv").write_text("id,name,city\n1,Al,NY\n2,Bo,LA\n3,Cy,NY\n4,Di,SF\n,No,NY\n")
+    (d / "Orders.csv").write_text("order,user,amount,city\n10,1,5,X\n11,1,7,Y\n12,2,9,Z\n13,9,1,W\n14,,2,V\n")
+    (d / "nested.jsonl").write_text('{"k":{"id":1},"v":"a"}\n{"k":{"id":3},"v":"b"}\n{"k":null,"v":"c"}\n')
+    return str(d)
+
+
+def rows(spark, folder, text):
+    return [tuple(r) for r in run(spark, text, ordered=True, base=folder).collect()]
+
+
+LEFT = [(1, "Al", "NY", 10, 5, "X"), (1, "Al", "NY", 11, 7, "Y"), (2, "Bo", "LA", 12, 9, "Z")]
+LONELY = [(3, "Cy", "NY", None, None, None), (4, "Di", "SF", None, None, None), (None, "No", "NY", None, None, None)]
+EXTRA = [(9, None, None, 13, 1, "W"), (None, None, None, 14, 2, "V")]
+
+
+@pytest.mark.parametrize("kind, want", [("inner", LEFT), ("", LEFT), ("left", LEFT + LONELY), ("right", LEFT + EXTRA), ("full", LEFT + LONELY + EXTRA)])
+def test_kinds_layout_and_order(spark, folder, kind, want):
+    text = f"users.csv | join {kind} Orders.csv on id == user"
+    assert rows(spark, folder, text) == want
+    assert run(spark, text, base=folder).columns == ["id", "name", "city", "order", "amount", "orders_city"]
+
+
+def test_nullability(spark, folder):
+    types = lambda kind: [str(t) for _, t in plan(spark, f"users.csv | filter {{ id is not null }} | join {kind} Orders.csv on id == user", base=folder).schema]
+    assert types("inner") == ["int?", "string", "string", "int", "int", "string"]
+    assert types("left") == ["int?", "string", "string", "int?", "int?", "string?"]
+    assert types("right") == ["int?", "string?", "string?", "int", "int", "string"]
+    assert types("full") == ["int?", "string?", "string?", "int?", "int?", "string?"]
+
+
+def test_several_keys_and_same_name(spark, folder):
+    assert rows(spark, folder, "users.csv | rename id = user | join Orders.csv on user and city") == []
+    got = run(spark, "users.csv | rename id = user | join left Orders.csv on user and city", base=folder)
+    assert got.columns == ["user", "name", "city", "order", "amount"]
+    assert rows(spark, folder, "users.csv | join users.csv on id and city == city | count") == [(4,)]
+
+
+def test_path_keys(spark, folder):
+    got = run(spark, "nested.jsonl | join right users.csv on k.id == id | sort name", ordered=True, base=folder)
+    assert got.columns == ["k", "v", "k_id", "name", "city"]
+    assert [(r.v, r.k_id, r.name) for r in got.collect()] == [("a", 1, "Al"), (None, 2, "Bo"), ("b", 3, "Cy"), (None, 4, "Di"), (None, None, "No")]
+    got = run(spark, "users.csv | join nested.jsonl on id == k.id", ordered=True, base=folder)
+    assert got.columns == ["id", "name", "city", "k", "v"] and [r.v for r in got.collect()] == ["a", "b"]
+
+
+def test_right_column_with_the_left_key_s_name(spark, folder):
+    got = run(spark, "Orders.csv | join users.csv on user == id", base=folder)
+    assert got.columns == ["order", "user", "amount", "city", "name", "users_city"]
+    got = run(spark, "users.csv | rename id = order | join Orders.csv on order == user", base=folder)
+    assert got.columns == ["order", "name", "city", "orders_order", "amount", "orders_city"]
+
+
+def test_join_then_more(spark, folder):
+    text = "users.csv | join left Orders.csv on id == user | group city | reduce total = sum(amount), who = first(name), last = last(order) | remove grouped"
+    assert rows(spark, folder, text) == [("NY", 12, "Al", None), ("LA", 9, "Bo", 12), ("SF", None, "Di", None)]
+    assert rows(spark, folder, "users.csv | join Orders.csv on id == user | join nested.jsonl on id == k.id | select order, v") == [(10, "a"), (11, "a")]
+    assert rows(spark, folder, "users.csv | sort -name | join left Orders.csv on id == user | tail 2 | select order") == [(10,), (11,)]
+
+
+@pytest.mark.parametrize("text", ["join Orders.csv on id == city", "join Orders.csv on nope == user", "join Orders.csv on id == nope", "join nested.jsonl on id == k", "join Orders.csv on id == user | select missing", "transform f = 1.0 | join Orders.csv on f == user"])
+def test_rejected(spark, folder, text):
+    with pytest.raises(PlanError):
+        plan(spark, "users.csv | " + text, base=folder)
+
+
+def test_names():
+    assert [side_name(x) for x in ("data/OrderItems.csv", "orders.csv.gz", "a/b-c d.csv", "orders/*.csv", "part-*.csv", "x/**/*.json", "*.csv", "HTTPLog2.csv")] == ["order_items", "orders_csv", "b_c_d", "orders", "part", "x", "right", "httplog2"]
+    assert unique("a", ["b"]) == "a" and unique("a", ["a", "a_2"]) == "a_3"
