@@ -149,7 +149,8 @@ class JsonSource(Prepared):
         if self.lines:
             rows = self.spark.read.text(path).where(F.trim("value") != "").limit(n).collect()
             return [r[0] for r in rows]
-        return self.array(self.spark.read.text(path, wholetext=True).first()[0], path)[:n]
+        whole = self.spark.read.text(path, wholetext=True).first()
+        return self.array(whole[0] if whole else "", path)[:n]
 
     @staticmethod
     def array(text: str, path: str) -> list:

@@ -1,0 +1,278 @@
+import bz2
+import gzip
+import json
+import math
+import zlib
+
+import pytest
+import zstandard
+from pyspark.errors import PySparkException
+
+from pipewright.api import plan, run
+from pipewright.errors import LoadError, ParseError, PlanError, QueryError
+
+
+@pytest.fixture
+def at(spark, tmp_path):
+    class Folder:
+        path = tmp_path
+
+        def write(self, name, content):
+            target = tmp_path / name
+            target.parent.mkdir(parents=True, exist_ok=True)
+            target.write_bytes(content if isinstance(content, bytes) else content.encode())
+            return self
+
+        def rows(self, text):
+            return [tuple(r) for r in run(spark, text, ordered=True, base=str(tmp_path)).collect()]
+
+        def schema(self, text):
+            return [(n, str(t)) for n, t in plan(spark, text, base=str(tmp_path)).schema]
+
+    return Folder()
+
+
+# CSV
+
+
+def test_csv_kinds(at):
+    at.write("a.csv", "i,f,b,s,m,z,d\n1,1.5,true,x,1,,2024-01-01\n-2, .5 ,FALSE,y,z,null,2024-01-02\n+3,1e3,True,,3,NULL,\n")
+    assert at.schema("a.csv") == [("i", "int"), ("f", "float"), ("b", "bool"), ("s", "string?"), ("m", "string"), ("z", "string?"), ("d", "string?")]
+    assert at.rows("a.csv") == [(1, 1.5, True, "x", "1", None, "2024-01-01"), (-2, 0.5, False, "y", "z", None, "2024-01-02"), (3, 1000.0, True, None, "3", None, None)]
+
+
+def test_csv_numbers(at):
+    at.write("a.csv", "a,b,c\n9223372036854775807,nan,1\n9223372036854775808,-Inf,2d\n")
+    assert at.schema("a.csv") == [("a", "float"), ("b", "float"), ("c", "string")]
+    got = at.rows("a.csv")
+    assert math.isnan(got[0][1]) and got[1][1] == -math.inf and got[1][2] == "2d"
+
+
+def test_csv_quotes_and_nulls(at):
+    at.write("a.csv", 'a,b\n"x, ""y""",1\n"null"," 2"\n" NULL ",""\n"two\nlines",4\n')
+    assert at.rows("a.csv") == [('x, "y"', 1), (None, 2), (None, None), ("two\nlines", 4)]
+
+
+def test_csv_header_blank_lines_and_mark(at):
+    at.write("a.csv", "﻿\n\na b,c\n1,2\n\n3,4\n")
+    assert at.rows("a.csv | filter { `a b` > 1 }") == [(3, 4)]
+    at.write("h.csv", "1,x\n2,y\n")
+    assert at.schema("h.csv with header=false") == [("col1", "int"), ("col2", "string")] and len(at.rows("h.csv with header=false")) == 2
+    at.write("e.csv", "a,b\n")
+    assert at.schema("e.csv") == [("a", "string?"), ("b", "string?")] and at.rows("e.csv") == []
+
+
+def test_csv_delimiter(at):
+    at.write("a.dat", "a;b\n1;x,y\n")
+    assert at.rows('a.dat with format=csv, delim=";"') == [(1, "x,y")]
+    at.write("t.dat", "a\tb\n1\tx\n")
+    assert at.rows('t.dat with format=csv, delim="\\t"') == [(1, "x")]
+
+
+def test_csv_width(at):
+    at.write("short.csv", "a,b,c\n1,2,3\n4,5\n").write("long.csv", "a,b\n1,2\n3,4,5\n")
+    for name in ("short", "long"):
+        for stage in ("", " | count", " | select a"):
+            with pytest.raises(PySparkException, match="cells"):
+                at.rows(f"{name}.csv{stage}")
+    assert at.rows("short.csv with allow_jagged_rows=true") == [(1, 2, 3), (4, 5, None)]
+    assert at.rows("long.csv with ignore_unknown_values=true") == [(1, 2), (3, 4)]
+    with pytest.raises(PySparkException):
+        at.rows("long.csv with allow_jagged_rows=true")
+    with pytest.raises(PySparkException):
+        at.rows("short.csv with ignore_unknown_values=true")
+    at.write("both.csv", "a,b\n1\n2,3,4\n")
+    assert at.rows("both.csv with ignore_unknown_values=true, allow_jagged_rows=true") == [(1, None), (2, 3)]
+
+
+def test_csv_sample(at):
+    at.write("a.csv", "x,y\n1,a\n2,b\nlate,c\n")
+    assert at.schema("a.csv with infer_rows=2") == [("x", "int?"), ("y", "string?")]
+    assert at.schema("a.csv with infer_rows=3") == at.schema("a.csv with infer_rows=-1") == at.schema("a.csv") == [("x", "string"), ("y", "string")]
+    assert at.schema("a.csv with infer_rows=0") == [("x", "string?"), ("y", "string?")]
+    with pytest.raises(PySparkException, match="late"):
+        at.rows("a.csv with infer_rows=2")
+    assert at.rows("a.csv with infer_rows=2 | select y") == [("a",), ("b",), ("c",)]
+    assert at.rows("a.csv with infer_rows=2, max_bad_records=1") == [(1, "a"), (2, "b")]
+    at.write("b.csv", "x\n1\np\nq\n")
+    with pytest.raises(LoadError):
+        at.rows("b.csv with infer_rows=1, max_bad_records=1")
+
+
+def test_csv_columns_twice(at):
+    with pytest.raises(LoadError, match="twice"):
+        at.write("a.csv", "a,a\n1,2\n").schema("a.csv")
+
+
+def test_csv_globs(at):
+    at.write("g/1.csv", "id,name\n1,a\n").write("g/2.csv", "id,name\n2,b\n").write("g/3.csv", "name,id,email\nc,3,x@y\n").write("g/4.csv", "4,d\n").write("g/sub/5.csv", "id,name\n5,e\n")
+    assert at.schema("g/*.csv") == [("id", "int"), ("name", "string"), ("email", "string?")]
+    assert at.rows("g/*.csv") == [(1, "a", None), (2, "b", None), (3, "c", "x@y"), (4, "d", None)]
+    assert at.rows("g/**/*.csv | count") == [(5,)] and at.rows("g/{1,2}.csv | select id") == [(1,), (2,)] and at.rows("g/?.csv with infer_rows=-1 | tail 1 | select id") == [(4,)]
+    for text in ("g/*.tsv", "missing.csv"):
+        with pytest.raises(LoadError):
+            at.schema(text)
+    at.write("g/x.json", "[]")
+    with pytest.raises(LoadError, match="differ"):
+        at.schema("g/*")
+
+
+# JSON
+
+
+def test_json_and_jsonl(at):
+    records = [{"n": 1, "s": "a", "r": {"x": 1.5, "l": [1, None]}}, {"s": None, "n": 2.5, "r": {"x": 2, "l": []}, "late": True}]
+    at.write("a.json", json.dumps(records)).write("a.jsonl", "\n\n".join(map(json.dumps, records)) + "\n\n")
+    for name in ("a.json", "a.jsonl", "a.jsonl with infer_rows=-1"):
+        assert at.schema(name) == [("n", "float"), ("r", "record<l:list<int?>, x:float>"), ("s", "string?"), ("late", "bool?")]
+        got = at.rows(name)
+        assert [r[0] for r in got] == [1.0, 2.5] and [r[3] for r in got] == [None, True] and got[0][1].asDict() == {"l": [1, None], "x": 1.5}
+
+
+def test_json_strictness(at):
+    for text in ('{"a":1}\n{"a":"x"}\n', '{"a":true}\n{"a":1}\n', '{"a":[1]}\n{"a":["x"]}\n', '{"a":{"b":1}}\n{"a":{"b":"x"}}\n', "[1]\n", '{"a":NaN}\n', '{"a":1} x\n'):
+        with pytest.raises(LoadError):
+            at.write("a.jsonl", text).schema("a.jsonl")
+    for text in ('{"a":1}', "[1]", '[{"a":1}', "", '[{"a":1}] x'):
+        with pytest.raises(QueryError):
+            at.write("a.json", text).schema("a.json")
+
+
+def test_json_numbers(at):
+    at.write("a.jsonl", '{"a":9223372036854775807,"b":9223372036854775808,"c":1.0,"d":1e2}\n')
+    assert at.rows("a.jsonl") == [(2**63 - 1, 2.0**63, 1.0, 100.0)] and at.schema("a.jsonl") == [("a", "int"), ("b", "float"), ("c", "float"), ("d", "float")]
+
+
+def test_json_mixed_lists(at):
+    at.write("a.jsonl", '{"x":[1,"two",2.0,null,{"b":1,"a":[]}]}\n{"x":[]}\n')
+    assert at.schema("a.jsonl") == [("x", "list<mixed?>")]
+    assert at.rows('a.jsonl | transform n = list_len(x), a = list_contains(x, 2), b = list_contains(x, "two"), c = list_contains(x, "1") | select n, a, b, c') == [(5, True, True, False), (0, False, False, False)]
+    assert at.rows("a.jsonl | group x | count") == [(2,)]
+    with pytest.raises(PlanError):
+        at.schema("a.jsonl | filter { x == x }")
+
+
+def test_json_late_fields_and_budgets(at):
+    at.write("a.jsonl", '{"a":1}\n{"a":2}\n{"a":3,"new":1}\n{"a":"bad"}\nnot json\n{"a":4}\n')
+    few = "a.jsonl with infer_rows=2"
+    assert at.schema(few) == [("a", "int?")]
+    with pytest.raises(PySparkException, match="new"):
+        at.rows(few)
+    assert at.rows(few + ", max_bad_records=3") == [(1,), (2,), (4,)]
+    with pytest.raises(LoadError):
+        at.rows(few + ", max_bad_records=2")
+    assert at.rows(few + ", max_bad_records=1 | count") == [(5,)]  # fields that nobody reads are not checked
+    at.write("b.jsonl", '{"a":1,"b":1}\n{"a":2,"b":"x","c":0}\n')
+    assert at.rows("b.jsonl with infer_rows=1 | select a") == [(1,), (2,)]
+
+
+def test_json_nullability(at):
+    at.write("a.jsonl", '{"a":{"b":1},"l":[1]}\n{"a":null,"l":[2]}\n{"a":{"b":2},"l":[3]}\n')
+    assert at.schema("a.jsonl") == [("a", "record<b:int>?"), ("l", "list<int>")]
+    assert at.schema("a.jsonl with infer_rows=1") == [("a", "record<b:int?>?"), ("l", "list<int?>?")]
+    assert at.rows("a.jsonl | select a.b") == [(1,), (None,), (2,)]
+
+
+def test_json_glob(at):
+    at.write("g/1.jsonl", '{"a":1}\n').write("g/2.jsonl", '{"a":2,"b":"x"}\n')
+    assert at.rows("g/*.jsonl") == [(1, None), (2, "x")] and at.rows("g/*.jsonl with infer_rows=-1 | tail 1") == [(2, "x")]
+
+
+# compression and options
+
+
+def test_compressed(at):
+    raw = b"a,b\n1,x\n2,y\n"
+    packed = {"gz": gzip.compress(raw), "zst": zstandard.ZstdCompressor().compress(raw), "zstd": zstandard.ZstdCompressor().compress(raw), "deflate": zlib.compress(raw), "zlib": zlib.compress(raw)}
+    for suffix, data in packed.items():
+        at.write(f"a.csv.{suffix}", data)
+        assert at.rows(f"a.csv.{suffix}") == [(1, "x"), (2, "y")], suffix
+    for kind, suffix in (("gzip", "gz"), ("zstd", "zst"), ("deflate", "zlib")):
+        at.write("plain", packed[suffix])
+        assert at.rows(f"plain with format=csv, compression={kind} | count") == [(2,)]
+    at.write("x.jsonl.gz", gzip.compress(b'{"a":1}\n'))
+    assert at.rows("x.jsonl.gz") == [(1,)]
+    with pytest.raises(LoadError):
+        at.write("broken.csv.zlib", b"no").schema("broken.csv.zlib")
+
+
+@pytest.mark.parametrize("text", ["a.json with header=true", "a.jsonl with infer_rows=0", "a.parquet with infer_rows=1", "a.avro with max_bad_records=1", "a.parquet.gz", "a.avro with compression=gzip", "- | count", "- with format=parquet", "a.unknown"])
+def test_options_that_do_not_fit(at, text):
+    for name in ("a.json", "a.jsonl", "a.parquet", "a.avro", "a.parquet.gz", "a.unknown"):
+        at.write(name, "")
+    with pytest.raises((ParseError, LoadError)):
+        at.schema(text)
+
+
+# binary formats
+
+
+def test_parquet_types(at):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    table = pa.table(
+        {
+            "i8": pa.array([1, None], pa.int8()), "f32": pa.array([0.5, None], pa.float32()), "s": ["a", "b"], "raw": pa.array([b"x", None]), "d": pa.array([1, 2], pa.decimal128(5, 2)),
+            "l": pa.array([[1, None], None], pa.list_(pa.int32())), "r": pa.array([{"b": 1, "a": [{"z": 1.5}]}, None], pa.struct([("b", pa.int16()), ("a", pa.list_(pa.struct([("z", pa.float32())])))])),
+        },
+        schema=None,
+    ).cast(pa.schema([("i8", pa.int8()), ("f32", pa.float32()), pa.field("s", pa.string(), nullable=False), ("raw", pa.binary()), ("d", pa.decimal128(5, 2)), ("l", pa.list_(pa.int32())), ("r", pa.struct([("b", pa.int16()), ("a", pa.list_(pa.struct([("z", pa.float32())])))]))]))
+    pq.write_table(table, at.path / "a.parquet")
+    assert at.schema("a.parquet") == [("i8", "int?"), ("f32", "float?"), ("s", "string"), ("raw", "string?"), ("d", "float?"), ("l", "list<int?>?"), ("r", "record<a:list<record<z:float?>?>?, b:int?>?")]
+    first, second = at.rows("a.parquet")
+    assert first[:6] == (1, 0.5, "a", "x", 1.0, [1, None]) and first[6].asDict(True) == {"a": [{"z": 1.5}], "b": 1} and second == (None, None, "b", None, 2.0, None, None)
+    assert at.rows("a.parquet | select r.b, r.a | transform n = list_len(r_a) | select r_b, n") == [(1, 1), (None, None)]
+
+
+def test_parquet_glob_merges(at):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.table({"a": [1], "b": ["x"], "r": [{"p": 1}]}), at.path / "1.parquet")
+    pq.write_table(pa.table({"b": [7], "a": [2.5], "z": [True], "r": [{"q": "t", "p": 2}]}), at.path / "2.parquet")
+    assert at.schema("*.parquet") == [("a", "float?"), ("b", "string?"), ("r", "record<p:int?, q:string?>?"), ("z", "bool?")]
+    got = at.rows("*.parquet | select a, b, z, r.p, r.q")
+    assert got == [(1.0, "x", None, 1, None), (2.5, "7", True, 2, "t")]
+
+
+def test_avro(at):
+    from pipewright.sinks.writers import long
+
+    schema = {
+        "type": "record", "name": "top", "namespace": "n", "fields": [
+            {"name": "i", "type": "int"}, {"name": "u", "type": ["null", "int", "string"]}, {"name": "f", "type": ["int", "double"]}, {"name": "e", "type": {"type": "enum", "name": "kind", "symbols": ["A", "B"]}},
+            {"name": "r", "type": {"type": "record", "name": "inner", "fields": [{"name": "x", "type": ["null", "long"]}]}}, {"name": "again", "type": ["null", "inner"]}, {"name": "l", "type": {"type": "array", "items": "float"}},
+            {"name": "fx", "type": {"type": "fixed", "name": "two", "size": 2}}, {"name": "b", "type": "bytes"}, {"name": "t", "type": "boolean"},
+        ],
+    }
+    import struct
+
+    one = long(7) + long(1) + long(5) + long(0) + long(3) + long(1) + long(1) + long(9) + long(0) + long(-1) + long(4) + struct.pack("<f", 1.5) + long(0) + b"ab" + long(1) + b"z" + b"\x01"
+    two = long(-8) + long(2) + long(1) + b"5" + long(1) + struct.pack("<d", 2.5) + long(0) + long(0) + long(1) + long(1) + long(4) + long(0) + b"cd" + long(0) + b"\x00"
+    for codec, pack in (("null", bytes), ("bzip2", bz2.compress), ("deflate", lambda x: zlib.compress(x)[2:-4])):
+        block, meta = pack(one + two), {"avro.schema": json.dumps(schema), "avro.codec": codec}
+        head = b"Obj\x01" + long(2) + b"".join(long(len(k)) + k.encode() + long(len(v.encode())) + v.encode() for k, v in meta.items()) + long(0) + b"s" * 16
+        at.write("a.avro", head + long(2) + long(len(block)) + block + b"s" * 16)
+        assert at.schema("a.avro") == [("i", "int"), ("u", "union<int,string>?"), ("f", "float"), ("e", "string"), ("r", "record<x:int?>"), ("again", "record<x:int?>?"), ("l", "list<float>"), ("fx", "string"), ("b", "string"), ("t", "bool")]
+        got = at.rows("a.avro | select i, f, e, r.x, again.x, l, fx, b, t")
+        assert got == [(7, 3.0, "B", 9, None, [1.5], "ab", "z", True), (-8, 2.5, "A", None, 4, [], "cd", "", False)]
+    at.write("e.avro", head)
+    assert at.rows("e.avro") == [] and at.schema("e.avro | describe | count") == [("count", "int")]
+    assert at.rows("a.avro | group u | reduce n = count() | select n") == [(1,), (1,)] and at.rows("a.avro | distinct u | count") == [(2,)]
+    for stage in ("filter { u == u }", "filter { u > 1 }", "sort u", "select u.x"):
+        with pytest.raises(PlanError):
+            at.schema("a.avro | " + stage)
+    at.write("cut.avro", head + long(2) + long(len(block)) + block[:-2])
+    with pytest.raises((PySparkException, LoadError)):
+        at.rows("cut.avro")
+
+
+@pytest.mark.parametrize("schema", [{"type": "map", "values": "int"}, {"type": "record", "name": "a", "fields": [{"name": "next", "type": ["null", "a"]}]}])
+def test_avro_rejected(at, schema):
+    from pipewright.sinks.writers import long
+
+    top = json.dumps({"type": "record", "name": "top", "fields": [{"name": "m", "type": schema}]})
+    at.write("a.avro", b"Obj\x01" + long(1) + long(11) + b"avro.schema" + long(len(top)) + top.encode() + long(0) + b"s" * 16)
+    with pytest.raises(LoadError):
+        at.schema("a.avro")
