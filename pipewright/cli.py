@@ -24,7 +24,7 @@ Stages: head tail filter select remove rename transform sort distinct group redu
 Output: table (default) csv json jsonl avro parquet, with 'to PATH', 'with overwrite=true, split_rows=N'
 Start with 'FILE | describe' to see columns and their types.
 """
-USAGE = f"usage: pipewright [-h] [-v] [--guide] [serve] [--] QUERY...\n\n{GUIDE}"
+USAGE = f"usage: pipewright [-h] [-v] [--guide] [serve | mcp] [--] QUERY...\n\n{GUIDE}"
 TOOL = {
     "name": "query",
     "description": "Run a query over CSV, JSON, JSON lines, Avro or Parquet files.",
@@ -112,10 +112,10 @@ def main(args: list[str] | None = None) -> int:
     if args[:1] in (["-v"], ["--version"]):
         print(VERSION)
         return 0
-    if args[:1] == ["--guide"]:
+    if args[:1] in (["--guide"], ["-agent-guide"]):
         print(GUIDE)
         return 0
-    if args[:1] == ["serve"]:
+    if args[:1] in (["serve"], ["mcp"]):
         serve(session, sys.stdin, sys.stdout)
         return 0
     args = args[1:] if args[:1] == ["--"] else args

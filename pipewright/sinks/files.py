@@ -26,30 +26,22 @@ def target(output: Output) -> str:
     if not own:
         path = f"{path}.{extension}"
     elif own[1:].lower() != extension:
-        if own[1:].lower() in EXTENSION.values():
-            raise WriteError(f"{path} does not end in .{extension}")
-        path = f"{path}.{extension}"
-    if output.split_rows and "{n}" not in os.path.basename(path):
-        stem, own = os.path.splitext(path)
-        path = f"{stem}-{{n}}{own}"
-    if not output.split_rows and "{n}" in path:
-        raise WriteError("{n} in a path needs split_rows")
+        raise WriteError(f"{path} does not end in .{extension}")
     return path
 
 
 def existing_parts(path: str) -> list[str]:
-    head, tail = os.path.split(path)
-    before, after = tail.split("{n}", 1)
-    fits = re.compile(re.escape(before) + r"[1-9][0-9]*" + re.escape(after) + r"\Z")
-    found = glob.glob(os.path.join(glob.escape(head or "."), "*"))
-    return [f for f in found if fits.match(os.path.basename(f))]
+    """Files of an earlier run: the path with one number in place of each ``{n}``."""
+    fits = re.compile("([1-9][0-9]*)".join(map(re.escape, path.split("{n}"))) + r"\Z")
+    found = glob.glob("*".join(map(glob.escape, path.split("{n}"))))
+    return [f for f in found if (m := fits.match(f)) and len(set(m.groups())) == 1]
 
 
 def write_files(rows: Iterable, schema: Schema, output: Output, base: str | None = None) -> list[str]:
     """Write to staged files beside the target, then put them in place; on failure what was there stays."""
     path = target(output)
     path = path if os.path.isabs(path) else os.path.join(base or os.getcwd(), path)
-    folder = os.path.dirname(path)
+    folder = os.path.dirname(path.split("{n}")[0]) if output.split_rows else os.path.dirname(path)
     os.makedirs(folder, exist_ok=True)
     old = existing_parts(path) if output.split_rows else [path] if os.path.lexists(path) else []
     if old and not output.overwrite:
@@ -86,6 +78,7 @@ def put_in_place(staged: list[tuple[str, str]], old: list[str], stage: str, over
             os.rename(f, keep)
             saved.append((keep, f))
         for temporary, final in staged:
+            os.makedirs(os.path.dirname(final), exist_ok=True)
             os.link(temporary, final)  # fails if someone else made the file meanwhile
             done.append(final)
     except OSError as e:

@@ -5,36 +5,54 @@ from __future__ import annotations
 import datetime
 import json
 import math
+from decimal import Decimal
 
-from ..types import MIXED, LType, Schema
+from ..errors import WriteError
+from ..types import LType, Schema
+
+
+def decimal(x: float) -> tuple[str, str, int]:
+    """Sign, shortest digits without zeros around them, and where the point stands among them."""
+    sign, digits, exponent = Decimal(repr(x)).as_tuple()
+    text = "".join(map(str, digits)).lstrip("0")
+    point = len(text) + exponent
+    return "-" * sign, text.rstrip("0"), point
+
+
+def plainly(sign: str, digits: str, point: int) -> str:
+    if point <= 0:
+        return f"{sign}0.{'0' * -point}{digits}"
+    if point >= len(digits):
+        return sign + digits + "0" * (point - len(digits))
+    return f"{sign}{digits[:point]}.{digits[point:]}"
+
+
+def scientifically(sign: str, digits: str, point: int, width: int) -> str:
+    power = point - 1
+    part = "." + digits[1:] if len(digits) > 1 else ""
+    return f"{sign}{digits[0]}{part}e{'-' if power < 0 else '+'}{abs(power):0{width}d}"
 
 
 def float_text(x: float) -> str:
-    """Shortest digits; an exponent of two digits at least, for numbers below 1e-4 or from 1e21 on."""
+    """Shortest digits; with an exponent of two digits at least, below 1e-4 and from 1e6 on."""
     if math.isnan(x):
         return "NaN"
     if math.isinf(x):
         return "+Inf" if x > 0 else "-Inf"
-    digits = repr(x)
-    mantissa, _, exponent = digits.partition("e")
-    sign = "-" if mantissa.startswith("-") else ""
-    mantissa = mantissa.lstrip("-")
-    whole, _, part = mantissa.partition(".")
-    power = int(exponent or 0)
-    number = (whole + part).lstrip("0")
-    if not number.strip("0"):
+    sign, digits, point = decimal(x)
+    if not digits:
         return sign + "0"
-    point = len(whole) + power - (len(whole + part) - len(number))
-    number = number.rstrip("0")
-    if -4 <= point - 1 < 21:
-        if point <= 0:
-            return f"{sign}0.{'0' * -point}{number}"
-        if point >= len(number):
-            return sign + number + "0" * (point - len(number))
-        return f"{sign}{number[:point]}.{number[point:]}"
-    power = point - 1
-    body = number[0] + ("." + number[1:] if len(number) > 1 else "")
-    return f"{sign}{body}e{'-' if power < 0 else '+'}{abs(power):02d}"
+    return plainly(sign, digits, point) if -4 <= point - 1 < 6 else scientifically(sign, digits, point, 2)
+
+
+def float_json(x: float) -> str:
+    """Shortest digits; with an exponent below 1e-6 and from 1e21 on. JSON has no other numbers."""
+    if not math.isfinite(x):
+        raise WriteError(f"JSON cannot hold {float_text(x)}")
+    sign, digits, point = decimal(x)
+    if not digits:
+        return sign + "0"
+    return plainly(sign, digits, point) if -6 <= point - 1 < 21 else scientifically(sign, digits, point, 1 if point < 1 else 2)
 
 
 def member(value, t: LType):
@@ -82,7 +100,7 @@ def plain(value) -> str:
 
 
 def json_value(value, t: LType):
-    """What json.dumps takes; NaN and infinities, which JSON lacks, become null."""
+    """What ``dump`` takes."""
     if value is None:
         return None
     if t.kind == "mixed":
@@ -90,7 +108,7 @@ def json_value(value, t: LType):
     if t.kind == "union":
         return json_value(*member(value, t))
     if t.kind == "float":
-        return Number(float_text(value)) if math.isfinite(value) else None
+        return float(value)
     if t.kind == "list":
         return [json_value(x, t.elem) for x in value]
     if t.kind == "record":
@@ -100,18 +118,6 @@ def json_value(value, t: LType):
     return value
 
 
-class Number(float):
-    """A float that keeps its text in JSON."""
-
-    def __new__(cls, text: str):
-        out = super().__new__(cls, text)
-        out.text = text
-        return out
-
-    def __repr__(self) -> str:
-        return self.text
-
-
 def dump(value, indent: str | None = None, level: int = 0) -> str:
     """JSON with sorted keys; <, > and & are escaped, as are the two line separators."""
     if isinstance(value, dict):
@@ -119,10 +125,8 @@ def dump(value, indent: str | None = None, level: int = 0) -> str:
         return _wrapped("{", items, "}", indent, level)
     if isinstance(value, list):
         return _wrapped("[", [dump(x, indent, level + 1) for x in value], "]", indent, level)
-    if isinstance(value, Number):
-        return value.text
     if isinstance(value, float):
-        return float_text(value)
+        return float_json(value)
     out = json.dumps(value, ensure_ascii=False)
     if isinstance(value, str):
         for c in "<>&  ":
@@ -140,5 +144,3 @@ def _wrapped(left: str, items: list[str], right: str, indent: str | None, level:
 def json_row(row, schema: Schema) -> dict:
     return {n: json_value(row[i], t) for i, (n, t) in enumerate(schema)}
 
-
-__all__ = ["MIXED", "display", "dump", "float_text", "json_row", "json_value"]

@@ -99,12 +99,13 @@ class CsvSource(Prepared):
 
     @staticmethod
     def is_header(line: list[str], names: list[str]) -> bool:
-        if line == names:
+        """The same names in any order; or no numbers, a known name, and otherwise only lower-case identifiers."""
+        if sorted(line) == sorted(names):
             return True
-        own = set(line)
-        fresh = own - set(names)
-        named = all(x.replace("_", "").isalnum() and x == x.lower() and not x[0].isdigit() for x in fresh if x) and "" not in own
-        return bool(own & set(names)) and named and (not fresh or len(own & set(names)) * 2 >= len(names))
+        fresh = [x for x in line if x not in names]
+        numbers = any(kind_of(x) in ("int", "float") for x in line)
+        named = all(x.isidentifier() and (x[0] == "_" or x[0].islower()) for x in fresh)
+        return not numbers and named and len(fresh) < len(line)
 
     def read(self, shard: Shard) -> DataFrame:
         """All cells as text. A line of another width than the header's fails, unless an option allows it."""

@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from ..errors import LoadError, ParseError
 
 SAMPLE = 20_480
-EXTENSIONS = {"csv": "csv", "json": "json", "jsonl": "jsonl", "ndjson": "jsonl", "avro": "avro", "parquet": "parquet"}
+EXTENSIONS = {"csv": "csv", "json": "json", "jsonl": "jsonl", "avro": "avro", "parquet": "parquet"}
 SUFFIXES = {"gz": "gzip", "zst": "zstd", "zstd": "zstd", "deflate": "deflate", "zlib": "deflate"}
 TEXT = ("csv", "json", "jsonl")
 

@@ -6,7 +6,7 @@ import pytest
 
 from pipewright import cli
 from pipewright.errors import QueryError, WriteError
-from pipewright.sinks.render import float_text
+from pipewright.sinks.render import float_json, float_text
 
 
 @pytest.fixture
@@ -43,9 +43,17 @@ def test_json(at):
     assert at("n.jsonl | select b, a | jsonl") == '{"a":"\\u003cx\\u003e","b":1}\n{"a":null,"b":2.5}\n'
 
 
-def test_float_text():
-    cases = {1.0: "1", 0.1: "0.1", -2.5: "-2.5", 1e20: "100000000000000000000", 1e21: "1e+21", 1.5e-7: "1.5e-07", 0.0001: "0.0001", 0.00001: "1e-05", 123456789.125: "123456789.125", -0.0: "-0", 1e300: "1e+300", 12.0e22: "1.2e+23", float("inf"): "+Inf"}
-    assert {x: float_text(x) for x in cases} == cases
+def test_floats():
+    shown = {1.0: "1", 0.1: "0.1", -2.5: "-2.5", 100000.0: "100000", 1e6: "1e+06", 1234567.5: "1.2345675e+06", 1e20: "1e+20", 1.5e-7: "1.5e-07", 0.0001: "0.0001", 0.00001: "1e-05", -0.0: "-0", 1e300: "1e+300", float("inf"): "+Inf", 5e-324: "5e-324"}
+    assert {x: float_text(x) for x in shown} == shown
+    written = {1.0: "1", 1234567.5: "1234567.5", 1e20: "100000000000000000000", 1e21: "1e+21", 1.2e23: "1.2e+23", 0.000001: "0.000001", 1.5e-7: "1.5e-7", 1e-10: "1e-10", -0.0: "-0"}
+    assert {x: float_json(x) for x in written} == written
+
+
+def test_json_has_no_nan(at):
+    with pytest.raises(WriteError, match="NaN"):
+        at("- with format=csv | json", io.BytesIO(b"a\nnan\n"))
+    assert at("- with format=csv | csv", io.BytesIO(b"a\nnan\n-inf\n")) == "a\nNaN\n-Inf\n"
 
 
 @pytest.mark.parametrize("form", ["parquet", "avro"])
@@ -69,11 +77,12 @@ def test_avro_names(at):
 
 
 def test_paths(at):
-    for text, made in [("csv to sub/x", "sub/x.csv"), ("json to d/", "d/output.json"), ("table to d/", "d/output.txt"), ("jsonl to y.jsonl", "y.jsonl"), ("csv to odd.name", "odd.name.csv")]:
+    for text, made in [("csv to sub/x", "sub/x.csv"), ("json to d/", "d/output.json"), ("table to d/", "d/output.txt"), ("jsonl to y.jsonl", "y.jsonl"), ("csv to {n}.csv", "{n}.csv")]:
         at("a.csv | " + text)
         assert (at.path / made).exists(), made
-    with pytest.raises(WriteError):
-        at("a.csv | csv to x.json")
+    for bad in ("x.json", "odd.name"):
+        with pytest.raises(WriteError):
+            at(f"a.csv | csv to {bad}")
 
 
 def test_overwrite(at):
@@ -97,8 +106,10 @@ def test_split(at):
     assert os.listdir(at.path / "p") == ["x-1.jsonl"]
     at("a.csv | head 0 | csv with split_rows=5 to z/")
     assert os.listdir(at.path / "z") == ["output-1.csv"]
-    with pytest.raises(WriteError):
-        at("a.csv | csv to q-{n}.csv")
+    at("a.csv | csv with split_rows=2 to m/{n}/part-{n}.csv")
+    assert sorted(os.listdir(at.path / "m")) == ["1", "2"] and os.listdir(at.path / "m/2") == ["part-2.csv"]
+    with pytest.raises(QueryError):
+        at("a.csv | csv with split_rows=2 to q.csv")
 
 
 def test_stdin(at):
