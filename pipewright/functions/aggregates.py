@@ -38,8 +38,7 @@ def over_rows(name: str, value: Column | None, t: LType | None, order: Column |
     if name == "avg":
         return F.avg(value.cast("double"))
     if name in ("first", "last"):
-        # the value may be null, so it travels in a struct
-        return (F.min_by if name == "first" else F.max_by)(F.struct(value.alias("v")), order).getField("v")
+        return (F.min_by if name == "first" else F.max_by)(value, order)  # also if it is null
     least = F.min if name == "min" else F.max
     if t.kind != "float":
         return least(value)

@@ -71,7 +71,8 @@ class ParquetSource(Prepared):
     def load(self, needed, ordered) -> State:
         kept = [(n, t) for n, t in self.schema if needed is None or n in needed]
         alike = all(f.schema == self.frames[0].schema for f in self.frames)
-        frames = [self.spark.read.parquet(*self.paths)] if alike else self.frames
+        # alike files are one scan; the schema at hand saves looking into them again
+        frames = self.frames if len(self.paths) == 1 or not alike else [self.spark.read.schema(self.frames[0].schema).parquet(*self.paths)]
         single = len(self.paths) == 1 and not is_directory(self.spark, self.paths[0])
         out = None
         for number, frame in enumerate(frames):

@@ -27,12 +27,12 @@ def both(x, y):
 
 #: Text, columns read, value.
 EXPRESSIONS = [
-    ("a + b", "ab", null(lambda a, b: a + b)), ("a * 2 - b", "ab", null(lambda a, b: a * 2 - b)), ("b / a", "ab", lambda a, b: None if a is None or a == 0 else b / a), ("f * 2", "f", null(lambda f: f * 2)),
+    ("a + b", "ab", null(lambda a, b: a + b)), ("a * 2 - b", "ab", null(lambda a, b: a * 2 - b)), ("b / a", "ab", lambda a, b: None if a is None or b is None or a == 0 else b / a), ("f * 2", "f", null(lambda f: f * 2)),
     ("a == f", "af", null(lambda a, f: a == f)), ("a < f", "af", null(lambda a, f: a < f)), ("not (f > 1)", "f", null(lambda f: not f > 1)), ("f != f", "f", null(lambda f: f != f)), ("s < \"Z\"", "s", null(lambda s: s.encode() < b"Z")),
     ("t and a > 1", "ta", lambda t, a: both(t, None if a is None else a > 1)), ("t or a > 1", "ta", lambda t, a: (lambda x, y: True if x or y else None if x is None or y is None else False)(t, None if a is None else a > 1)),
     ("s is null", "s", lambda s: s is None), ("upper(s) + \"!\"", "s", null(lambda s: s.upper() + "!")), ("str_len(s)", "s", null(len)), ("substr(s, -1, 1)", "s", null(lambda s: s[-1:])),
     ("coalesce(a, b)", "ab", lambda a, b: b if a is None else a), ("coalesce(f, a)", "fa", lambda f, a: f if f is not None else None if a is None else float(a)), ("if(t, a, b)", "tab", lambda t, a, b: a if t else b),
-    ("list_contains(list(a, 2), b)", "ab", lambda a, b: b == 2 or a is not None and a == b), ("list_len(list(a, b))", "ab", lambda a, b: 2),
+    ("list_contains(list(a, 2), b)", "ab", lambda a, b: None if b is None else b == 2 or a == b), ("list_len(list(a, b))", "ab", lambda a, b: 2),
 ]
 KINDS = {"+": "int"}
 
