@@ -31,10 +31,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back."""
+def materialise(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+
+    Narrow rows are rebalanced first, so that a table has as many files as its size calls for, not as its tasks were;
+    tables with texts are written where they are.
+    """
     path = scratch(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df if texts else df.hint("rebalance")).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

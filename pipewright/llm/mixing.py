@@ -119,7 +119,7 @@ def draw(df: DataFrame, **options) -> DataFrame:
     """
     columns = df.columns
     words = n_words(F.col(options.get("text", "text")))
-    rows = materialise(df.select("*", words.alias("_n"), F.monotonically_increasing_id().alias("_row")), "mix")  # fixes the numbers
+    rows = materialise(df.select("*", words.alias("_n"), F.monotonically_increasing_id().alias("_row")), "mix", texts=True)  # fixes the numbers
     narrow = rows.select("_row", *dict.fromkeys([options.get("source", "source"), options.get("key", "doc_id")]), "_n")
     copies = F.expr("case when taken > 0 then cast(floor(taken / size + 0.5D) as int) else 0 end").alias("_copies")
     drawn = mix(narrow, size="_n", **options).select("_row", copies).where("_copies > 0")

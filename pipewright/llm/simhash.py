@@ -257,7 +257,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     what their texts say. An empty table stays empty. ``keep_text=False`` drops the text; other columns pass through,
     columns of the names above are replaced, and names beginning with ``_`` are reserved.
     """
-    marked = materialise(with_fingerprints(df.drop("fingerprint", "component_id"), text, keep_text), "fingerprints")
+    marked = materialise(with_fingerprints(df.drop("fingerprint", "component_id"), text, keep_text), "fingerprints", texts=keep_text)
     out = marked.join(labelled(marked, key, distance), "_fp")
     return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp")
 
@@ -266,7 +266,7 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance
     """The row of the smallest key of each component; of repeated rows one. Components whose keys are all null are told apart
     by fingerprint. Columns stay as they are; names beginning with ``_`` are reserved."""
     rows = df.withColumn("_row", F.monotonically_increasing_id())
-    marked = materialise(with_fingerprints(rows, text, keep_text=True), "fingerprints")  # here row numbers become fixed
+    marked = materialise(with_fingerprints(rows, text, keep_text=True), "fingerprints", texts=True)  # here row numbers become fixed
     labels = labelled(marked, key, distance)
     small = marked.select("_row", "_fp", F.col(key).alias("_key")).join(labels, "_fp")
     small = small.withColumn("_alone", F.when(F.col("component_id").isNull(), F.col("_fp")))

@@ -464,7 +464,7 @@ def merged_ranges(texts: DataFrame, length: int) -> DataFrame:
                 number += 1
 
     texts = texts.select("hash", "digest", "segment").repartition(buckets, "hash", "digest").sortWithinPartitions("hash", "digest")
-    shards = materialise(texts.mapInArrow(deal, "hash long, digest long, segment binary, block long"), "substrings-shards")
+    shards = materialise(texts.mapInArrow(deal, "hash long, digest long, segment binary, block long"), "substrings-shards", texts=True)
 
     def pack(table: pa.Table) -> pa.Table:
         found = np.concatenate([window_digests(x.as_py(), length) for x in table["segment"]])

@@ -203,7 +203,7 @@ def write_tokens(
 
     filesystem, path = open_fs(folder)
     filesystem.create_dir(path, recursive=True)
-    rows.mapInArrow(run, MANIFEST).write.parquet(f"{folder}/manifest")
+    rows.mapInArrow(run, MANIFEST).hint("rebalance").write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
