@@ -25,8 +25,8 @@ LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Shingles whose bits are counted at once; rows of groups that a task matches at once; pairs looked at at once.
 BITS, ROWS, PAIRS = 1 << 16, 1 << 18, 1 << 21
-#: A group of more rows than this, and than so many times the mean, is parted by its second segment.
-LARGE, LARGE_TIMES = 4096, 4
+#: A group of more rows than LARGE, and than so many times the mean, is parted by its second segment; one of over MOST rows always.
+LARGE, LARGE_TIMES, MOST = 4096, 4, 1 << 20
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -154,7 +154,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
     parts = F.array(*[F.struct(F.lit(i).alias("seg"), cut(i).alias("block"), cut(i + 1).alias("second")) for i in range(len(segments))])
     keyed = nodes.select("_fp", "node", F.explode(parts).alias("p")).select("_fp", "node", "p.*")
     total = nodes.count()
-    limit = max(LARGE, LARGE_TIMES * total // (1 << segments[0][1]))
+    limit = min(MOST, max(LARGE, LARGE_TIMES * total // (1 << segments[0][1])))
     large = keyed.groupBy("seg", "block").count().where(F.col("count") > limit).select("seg", "block", F.lit(True).alias("large"))
     large = materialise(large, "simhash-large")
     if large.limit(1).count():  # seldom: then at most total / limit groups for each segment

@@ -39,6 +39,8 @@ LENGTH, GRAM = 200, 32
 BLOCK_BYTES, PIECE_BYTES, SHARD_BYTES = 4 << 20, 1 << 20, 192 << 10
 #: Different segments of one anchor that go to one suffix array.
 LARGE = 512
+#: Buckets of anchor hashes for each shuffle partition; a task holds one at a time.
+BUCKETS = 4
 ROW_BITS = 20
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 PLACE = np.uint64((1 << 24) - 1)
@@ -542,7 +544,7 @@ def deduplicate(df: DataFrame, key: str = "doc_id", text: str = "text", length:
     not, are documents of their own and so repeat each other. An empty table stays empty.
     """
     spark, folder = df.sparkSession, scratch(df.sparkSession, "substrings-blocks")
-    buckets = partitions(spark)
+    buckets = BUCKETS * partitions(spark)
     rows = write_blocks(df, key, text, folder, buckets, length)
     docs = rows.where("bucket is null")
     again = repeated_hashes(rows.where("bucket is not null"))
