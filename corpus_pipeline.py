@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(docs, "pipeline")
+            docs = materialise(docs, "pipeline", texts=True)
     return docs
