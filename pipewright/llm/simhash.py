@@ -11,6 +11,7 @@ components. Each distinct fingerprint takes part once, so exact copies cost noth
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +24,16 @@ from .common import LOWER, UPPER, materialise, partitions, table
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHINGLE, SEED, DISTANCE = 4, 42, 4
+#: Bits in which the words' fingerprints of similar documents may differ.
+WORD_DISTANCE = 8
 #: Shingles whose bits are counted at once; rows of groups that a task matches at once; pairs looked at at once.
 BITS, ROWS, PAIRS = 1 << 16, 1 << 18, 1 << 21
+#: Bytes of a sketch of a document's shingles.
+SKETCH = 128
 #: A group of more rows than LARGE, and than so many times the mean, is parted by its second segment; one of over MOST rows always.
 LARGE, LARGE_TIMES, MOST = 4096, 4, 1 << 20
+#: The longest chain that is looked up in a group.
+MAX_DEPTH = 4
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -47,9 +54,46 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * counts > take).tobytes(), "big")
 
 
-def with_fingerprints(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Add ``_fp`` (the fingerprint as a signed 64-bit integer)."""
-    from pyspark.sql.types import LongType, StructField, StructType
+def word_fingerprint(words: list[bytes], seed: int = SEED) -> int:
+    """Like ``fingerprint``, over each distinct word once: a changed word moves few of its bits."""
+    own = set(words)
+    if not own:
+        return 0
+    hashes = b"".join([xxhash.xxh64_digest(w, seed) for w in own])
+    counts = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big")
+
+
+def sketch(words: list[bytes], shingle: int = 5) -> bytes:
+    """SKETCH bytes that agree, in two documents, about as often as their sets of shingles have members in common: the least
+    hash of each of SKETCH classes, empty classes filled from the next one."""
+    data = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    take = max(1, len(words) - shingle + 1)
+    first, last = np.concatenate([[0], ends[:-1] + 1])[:take].tolist(), ends[len(words) - take :].tolist() if words else [0]
+    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(data[a:b], SEED + 1) for a, b in zip(first, last, strict=False)]), ">u8").astype(np.uint64)
+    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, (hashes & np.uint64(SKETCH - 1)).astype(np.int64), hashes >> np.uint64(8))
+    full = np.flatnonzero(least != np.iinfo(np.uint64).max)
+    at = full[np.searchsorted(full, np.arange(SKETCH)) % len(full)]
+    steps = ((at - np.arange(SKETCH)) % SKETCH).astype(np.uint64)
+    mixed = (least[at] + steps * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def resembling(sketches: np.ndarray, similar: float):
+    """Whether pairs of rows are alike to the degree ``similar``, by their sketches; equal bytes by chance are allowed for."""
+    least = SKETCH * (similar + (1 - similar) / 256)
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (sketches[a] == sketches[b]).sum(1) >= least
+
+    return test
+
+
+def with_fingerprints(df: DataFrame, text: str = "text", keep_text: bool = False, sketches: bool = False) -> DataFrame:
+    """Add ``_fp`` (the fingerprint as a signed 64-bit integer); with ``sketches`` also ``_wp`` (that of the words) and ``_sketch``."""
+    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
     kept = [f for f in df.schema.fields if keep_text or f.name != text]
 
@@ -58,9 +102,15 @@ def with_fingerprints(df: DataFrame, text: str = "text", keep_text: bool = False
             column = batch.column(batch.schema.get_field_index(text))
             prints = np.array([fingerprint(x.as_py()) for x in column], np.uint64).astype(np.int64)
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(prints)], names=[*[f.name for f in kept], "_fp"])
+            more = []
+            if sketches:
+                words = [(x.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWERED).split() for x in column]
+                more = [pa.array(np.array([word_fingerprint(w) for w in words], np.uint64).astype(np.int64)), pa.array([sketch(w) for w in words], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(prints), *more], names=[*[f.name for f in kept], "_fp", *added[1:]])
 
-    return df.mapInArrow(run, StructType([*kept, StructField("_fp", LongType())]))
+    added = ["_fp", "_wp", "_sketch"] if sketches else ["_fp"]
+    kinds = [LongType(), LongType(), BinaryType()]
+    return df.mapInArrow(run, StructType([*kept, *[StructField(n, k) for n, k in zip(added, kinds, strict=False)]]))
 
 
 def ring(distance: int) -> list[tuple[int, int]]:
@@ -70,10 +120,16 @@ def ring(distance: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), sizes[i]) for i in range(m)]
 
 
-def stars(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The smallest index that each of ``size`` rows is linked to."""
+def stars(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], test=None) -> np.ndarray:
+    """The smallest index that each of ``size`` rows is linked to. ``test`` holds pairs that aren't joined yet to more than
+    their fingerprints."""
     label = np.arange(size)
     for a, b in pairs:
+        if test is not None:
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            good = test(a, b)
+            a, b = a[good], b[good]
         while True:
             x, y = label[a], label[b]
             if (x == y).all():
@@ -112,20 +168,52 @@ def expand(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[np.ndarray, np
         yield i, np.repeat(left[lo:hi], k) + np.arange(len(i)) - np.repeat(np.cumsum(k) - k, k)
 
 
+def chained(prints: np.ndarray, start: int, segments: list, depth: int) -> tuple[np.ndarray, int]:
+    """The second up to the ``depth``-th segment of a chain as one number, the second highest, and its bits."""
+    value, bits = np.zeros(len(prints), np.int64), 0
+    for n in range(1, depth):
+        shift, size = segments[(start + n) % len(segments)]
+        part = (prints >> np.uint64(shift)) & np.uint64((1 << size) - 1)
+        value, bits = (value << size) | part.astype(np.int64), bits + size
+    return value, bits
+
+
+def masks(start: int, segments: list, distance: int, depth: int) -> list[int]:
+    """The flips of those segments that keep the budget of every chain up to ``depth``."""
+    m, found = len(segments), [(0, 0)]
+    for n in range(2, depth + 1):
+        size, budget = segments[(start + n - 1) % m][1], n * distance // m
+        grown = []
+        for mask, flipped in found:
+            for more in range(budget - flipped + 1):
+                grown += [(mask << size | sum(1 << b for b in bits), flipped + more) for bits in itertools.combinations(range(size), more)]
+        found = grown
+    return [mask for mask, _ in found]
+
+
+def crowding(group: np.ndarray, start: int, segments: list, depth: int) -> float:
+    """Rows that a row of the largest group would meet at this depth, if bits were even."""
+    bits = sum(segments[(start + n) % len(segments)][1] for n in range(1, depth))
+    return float(np.bincount(group - group.min()).max()) / (1 << bits) * bits
+
+
 def group_pairs(group: np.ndarray, prints: np.ndarray, role: np.ndarray, start: int, segments: list, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Linked pairs (a row each) within groups of equal first segment; rows come sorted by group and second segment.
 
-    Whole groups (role 0) are searched for each second segment that differs in one bit at most; groups parted by it
-    hold the exact rows (role 1) and those that one flipped bit brings there (role 2).
+    Whole groups (role 0) are searched for each second segment that differs in one bit at most, or, where that would meet
+    too many rows, for each pair of second and third segments within the budgets of their chains; groups parted by the second
+    segment hold the exact rows (role 1) and those that one flipped bit brings there (role 2).
     """
-    shift, bits = segments[(start + 1) % len(segments)]
-    second = ((prints >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
-    key = (group << bits) | np.where(role == 0, second, 0)
-    whole = role == 0
-    if whole.any():
-        rows = np.flatnonzero(whole)
-        k = key[rows]
-        for flip in [0, *(1 << b for b in range(bits))]:
+    whole = np.flatnonzero(role == 0)
+    if len(whole):
+        own, groups = prints[whole], group[whole]
+        depth = 2
+        while depth < MAX_DEPTH and depth < len(segments) and crowding(groups, start, segments, depth) > len(masks(start, segments, distance, depth + 1)):
+            depth += 1
+        value, bits = chained(own, start, segments, depth)
+        order = np.lexsort((value, groups))
+        rows, k = whole[order], (groups[order].astype(np.int64) - groups.min() << bits) | value[order]
+        for flip in masks(start, segments, distance, depth):
             goal = k ^ flip
             left, right = np.searchsorted(k, goal, "left"), np.searchsorted(k, goal, "right")
             for i, j in expand(left, right):
@@ -144,15 +232,16 @@ def group_pairs(group: np.ndarray, prints: np.ndarray, role: np.ndarray, start:
             yield i[good], j[good]
 
 
-def links(nodes: DataFrame, distance: int) -> DataFrame:
+def links(nodes: DataFrame, distance: int, similar: float | None = None) -> DataFrame:
     """(u, v), v < u: stars that link the nodes (``_fp``, ``node``) whose fingerprints are near; as many rows as fingerprints
-    in a group at most."""
+    in a group at most. With ``similar``, only those whose ``_sketch`` says that they are alike to that degree."""
+    more = [] if similar is None else ["_sketch"]
     spark, segments = nodes.sparkSession, ring(distance)
     if distance == 0:  # nodes differ, so nothing is linked
         return spark.createDataFrame([], "u long, v long")
     cut = lambda i: F.shiftrightunsigned("_fp", segments[i % len(segments)][0]).bitwiseAND(F.lit((1 << segments[i % len(segments)][1]) - 1))
     parts = F.array(*[F.struct(F.lit(i).alias("seg"), cut(i).alias("block"), cut(i + 1).alias("second")) for i in range(len(segments))])
-    keyed = nodes.select("_fp", "node", F.explode(parts).alias("p")).select("_fp", "node", "p.*")
+    keyed = nodes.select("_fp", "node", *more, F.explode(parts).alias("p")).select("_fp", "node", *more, "p.*")
     total = nodes.count()
     limit = min(MOST, max(LARGE, LARGE_TIMES * total // (1 << segments[0][1])))
     large = keyed.groupBy("seg", "block").count().where(F.col("count") > limit).select("seg", "block", F.lit(True).alias("large"))
@@ -169,9 +258,9 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
                 ),
             ),
         ).otherwise(F.array(F.struct(F.lit(0).alias("role"), F.lit(-1).cast("long").alias("sub"))))
-        keyed = keyed.withColumn("r", F.explode(flips)).select("_fp", "node", "seg", "block", "second", "r.*")
+        keyed = keyed.withColumn("r", F.explode(flips)).select("_fp", "node", *more, "seg", "block", "second", "r.*")
     else:
-        keyed = keyed.select("_fp", "node", "seg", "block", "second", F.lit(0).alias("role"), F.lit(-1).cast("long").alias("sub"))
+        keyed = keyed.select("_fp", "node", *more, "seg", "block", "second", F.lit(0).alias("role"), F.lit(-1).cast("long").alias("sub"))
     keyed = keyed.repartition(partitions(spark), "seg", "block", "sub").sortWithinPartitions("seg", "block", "sub", "second", "_fp", "node")
 
     def linked(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +271,10 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
         prints = part["_fp"].view(np.uint64)
         for seg in np.unique(part["seg"]).tolist():
             rows = np.flatnonzero(part["seg"] == seg)
-            label = stars(len(rows), group_pairs(group[rows], prints[rows], part["role"][rows], seg, segments, distance))
+            test = None
+            if similar is not None:
+                test = resembling(np.frombuffer(b"".join(part["_sketch"][rows]), np.uint8).reshape(-1, SKETCH), similar)
+            label = stars(len(rows), group_pairs(group[rows], prints[rows], part["role"][rows], seg, segments, distance), test)
             node = part["node"][rows]
             # the star's centre: the smallest node of the star, whichever row has it
             low = np.full(len(rows), np.iinfo(np.int64).max)
@@ -194,7 +286,7 @@ def links(nodes: DataFrame, distance: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_fp", "node", "seg", "block", "second", "role", "sub"]
+        names = ["_fp", "node", *more, "seg", "block", "second", "role", "sub"]
         held: list[dict[str, np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -239,12 +331,18 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(sums)
 
 
-def labelled(marked: DataFrame, key: str, distance: int) -> DataFrame:
+def labelled(marked: DataFrame, key: str, distance: int, similar: float | None = None) -> DataFrame:
     """(``_fp``, ``component_id``) for each fingerprint of ``marked``, written to the shared folder: a plain scan, so that a
-    join with it can be split where a fingerprint is frequent."""
-    nodes = materialise(marked.groupBy("_fp").agg(F.min(F.col(key).cast("long")).alias("node")), "nodes")
-    found = components(links(nodes.where("node is not null"), distance))
-    labels = nodes.join(found, "node", "left").select("_fp", F.coalesce("component", "node").alias("component_id"))
+    join with it can be split where a fingerprint is frequent. With ``similar``, links of the words' fingerprints that the
+    sketches bear out come on top."""
+    key_of = F.col(key).cast("long")
+    first = F.min(F.struct(key_of.isNull().alias("none"), key_of.alias("node"), *(["_wp", "_sketch"] if similar is not None else [])))
+    nodes = materialise(marked.groupBy("_fp").agg(first.alias("first")).select("_fp", "first.*").drop("none"), "nodes")
+    known = nodes.where("node is not null")
+    found = links(known.select("_fp", "node"), distance)
+    if similar is not None:
+        found = found.unionByName(links(known.select(F.col("_wp").alias("_fp"), "node", "_sketch"), WORD_DISTANCE, similar))
+    labels = nodes.select("_fp", "node").join(components(found), "node", "left").select("_fp", F.coalesce("component", "node").alias("component_id"))
     return materialise(labels, "labels")
 
 
@@ -262,17 +360,21 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", dist
     return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp")
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, similar: float | None = None) -> DataFrame:
     """The row of the smallest key of each component; of repeated rows one. Components whose keys are all null are told apart
-    by fingerprint. Columns stay as they are; names beginning with ``_`` are reserved."""
+    by fingerprint. Columns stay as they are; names beginning with ``_`` are reserved.
+
+    ``similar``: documents whose words' fingerprints differ in at most WORD_DISTANCE bits and whose sets of five-word shingles
+    are alike to this degree, by their sketches, are linked too. Fingerprints of shingles seldom come as near for them.
+    """
     rows = df.withColumn("_row", F.monotonically_increasing_id())
-    marked = materialise(with_fingerprints(rows, text, keep_text=True), "fingerprints", texts=True)  # here row numbers become fixed
-    labels = labelled(marked, key, distance)
+    marked = materialise(with_fingerprints(rows, text, True, similar is not None), "fingerprints", texts=True)  # here row numbers become fixed
+    labels = labelled(marked, key, distance, similar)
     small = marked.select("_row", "_fp", F.col(key).alias("_key")).join(labels, "_fp")
     small = small.withColumn("_alone", F.when(F.col("component_id").isNull(), F.col("_fp")))
     first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row"))
     kept = small.groupBy("component_id", "_alone").agg(first.alias("first")).select("first._row")
-    return marked.join(kept, "_row", "left_semi").drop("_row", "_fp")
+    return marked.join(kept, "_row", "left_semi").drop("_row", "_fp", "_wp", "_sketch")
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,10 +10,35 @@ from pipewright.llm import quality
 pipeline = pytest.importorskip("corpus_pipeline")
 
 
+def near_duplicates(docs):
+    """The first document of each component of both kinds of links, pair by pair."""
+    from test_simhash import brute_print
+
+    from pipewright.llm import simhash
+
+    split = [(d[1] or "").encode().translate(simhash.LOWERED).split() for d in docs]
+    prints = np.array([brute_print(d[1]) for d in docs], np.uint64)
+    of_words = np.array([simhash.word_fingerprint(w) for w in split], np.uint64)
+    sketches = np.array([np.frombuffer(simhash.sketch(w), np.uint8) for w in split])
+    parent = list(range(len(docs)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        same = (sketches[i] == sketches[i + 1 :]).sum(1) >= 128 * (0.8 + 0.2 / 256)
+        near = np.bitwise_count(of_words[i] ^ of_words[i + 1 :]) <= 8
+        for j in np.flatnonzero((np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= 4) | near & same) + i + 1:
+            a, b = root(i), root(int(j))
+            parent[max(a, b)] = min(a, b)
+    return [d for i, d in enumerate(docs) if root(i) == i]
+
+
 def surviving(data):
     """Documents after the three filtering stages, by brute force."""
     from test_decontaminate import brute as contaminated
-    from test_simhash import brute_print, components
 
     docs = duckdb.sql(f"select doc_id, text, lang, source, n_chars from '{data}/documents.parquet' order by doc_id").fetchall()
     features = np.array([quality.features(d[1]) for d in docs])
@@ -24,7 +49,7 @@ def surviving(data):
     good = quality.fit(patterns, counts.astype(float))["posterior"][index.ravel()] >= 0.5
     n, repeated = features[:, 0], features[:, 4]
     docs = [d for d, k in zip(docs, good & (n >= 50) & (100 * repeated <= 50 * n), strict=True) if k]
-    docs = [d for i, (d, root) in enumerate(zip(docs, components([brute_print(d[1]) for d in docs]), strict=True)) if i == root]
+    docs = near_duplicates(docs)
     items = duckdb.sql(f"select item_id, text from '{data}/benchmark.parquet'").fetchall()
     return [d for d, (_, hit, _) in zip(docs, contaminated([d[1] for d in docs], items), strict=True) if not hit]
 

@@ -111,3 +111,47 @@ def test_query(spark, data):
     want = {i: (f"{p:016x}", docs[r][0]) for (i, *_), p, r in zip(docs, prints, root, strict=True)}
     rows = simhash.op9_simhash_components(spark, data).collect()
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == want
+
+
+@pytest.mark.parametrize("depth", [3, 4])
+def test_deeper_chains_lose_nothing(spark, monkeypatch, depth):
+    monkeypatch.setattr(simhash, "MAX_DEPTH", depth)
+    monkeypatch.setattr(simhash, "crowding", lambda *_: 1e12)
+    prints = clustered(depth)
+    nodes = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "_fp long, node long")
+    for distance in (4, 8):
+        found = {r["node"]: r["component"] for r in simhash.components(simhash.links(nodes, distance)).collect()}
+        assert [found.get(i, i) for i in range(len(prints))] == components(prints, distance)
+
+
+def shingles(text):
+    w = words((text or "").translate(LOWER))
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def test_sketches_tell_similarity():
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    for n in (0, 3, 10, 40, 150):
+        other = list(base)
+        for i in rng.sample(range(600), n):
+            other[i] = "new"
+        a, b = shingles(" ".join(base)), shingles(" ".join(other))
+        share = np.mean(np.frombuffer(simhash.sketch([w.encode() for w in base]), np.uint8) == np.frombuffer(simhash.sketch([w.encode() for w in other]), np.uint8))
+        assert abs(share - len(a & b) / len(a | b)) < 0.13
+    assert len(simhash.sketch([])) == len(simhash.sketch([b"one"])) == simhash.SKETCH
+
+
+def test_similar_documents_are_found_and_others_stay(spark):
+    docs = documents("/root/testdata/sf0.01")
+    sets = {i: shingles(t) for i, t, *_ in docs}
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, docs), similar=0.8).collect()}
+    gone = [i for i, *_ in docs if i not in kept]
+    root = dict(zip([i for i, *_ in docs], components([brute_print(t) for _, t, *_ in docs]), strict=True))
+    place = {k: i for k, (i, *_) in enumerate(docs)}
+    alike = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    for i in gone:  # each has something like it among the documents
+        assert place[root[i]] != i or max(alike(i, j) for j in sets if j != i) > 0.65
+    pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i]) > 20 and alike(i, j) >= 0.8]
+    lost = [(i, j) for i, j in pairs if i in kept and j in kept]
+    assert pairs and len(lost) <= 0.1 * len(pairs)
