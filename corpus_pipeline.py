@@ -22,8 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each component."""
-    return simhash.one_of_each(docs).select(*docs.columns)
+    """The document of the smallest id stays of each component: fingerprints at most 4 bits apart, or at least 0.8 of the
+    five-word shingles in common."""
+    return simhash.one_of_each(docs, similar=0.8).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
