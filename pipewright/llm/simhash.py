@@ -27,7 +27,7 @@ SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: Bits in which the words' fingerprints of similar documents may differ.
 WORD_DISTANCE = 8
 #: Shingles whose bits are counted at once; rows of groups that a task matches at once; pairs looked at at once.
-BITS, ROWS, PAIRS = 1 << 16, 1 << 18, 1 << 21
+BITS, ROWS, PAIRS = 1 << 15, 1 << 16, 1 << 18
 #: Bytes of a sketch of a document's shingles.
 SKETCH = 128
 #: A group of more rows than LARGE, and than so many times the mean, is parted by its second segment; one of over MOST rows always.
@@ -104,8 +104,12 @@ def with_fingerprints(df: DataFrame, text: str = "text", keep_text: bool = False
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             more = []
             if sketches:
-                words = [(x.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWERED).split() for x in column]
-                more = [pa.array(np.array([word_fingerprint(w) for w in words], np.uint64).astype(np.int64)), pa.array([sketch(w) for w in words], pa.binary())]
+                of_words, bodies = [], []
+                for x in column:  # one document's words at a time
+                    words = (x.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWERED).split()
+                    of_words.append(word_fingerprint(words))
+                    bodies.append(sketch(words))
+                more = [pa.array(np.array(of_words, np.uint64).astype(np.int64)), pa.array(bodies, pa.binary())]
             yield pa.RecordBatch.from_arrays([*own, pa.array(prints), *more], names=[*[f.name for f in kept], "_fp", *added[1:]])
 
     added = ["_fp", "_wp", "_sketch"] if sketches else ["_fp"]
