@@ -19,17 +19,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import LOWER, UPPER, materialise, partitions, table
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHINGLE, SEED, DISTANCE = 4, 42, 4
-#: Bits in which the words' fingerprints of similar documents may differ.
-WORD_DISTANCE = 8
 #: Shingles whose bits are counted at once; rows of groups that a task matches at once; pairs looked at at once.
 BITS, ROWS, PAIRS = 1 << 15, 1 << 16, 1 << 18
-#: Bytes of a sketch of a document's shingles.
-SKETCH = 128
+#: Bytes of a sketch of a document's shingles, a low byte of each least hash; least hashes that make one band.
+SKETCH, BAND = 128, 4
+#: By how much the sketches of pairs worth a count may be less alike than they are asked to be.
+MARGIN = 0.2
+#: Rows of a group up to which all its pairs are looked at at once, and the neighbours that a row of a larger one meets before.
+FEW, NEIGHBOURS = 64, 4
 #: A group of more rows than LARGE, and than so many times the mean, is parted by its second segment; one of over MOST rows always.
 LARGE, LARGE_TIMES, MOST = 4096, 4, 1 << 20
 #: The longest chain that is looked up in a group.
@@ -55,7 +58,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
 
 
 def word_fingerprint(words: list[bytes], seed: int = SEED) -> int:
-    """Like ``fingerprint``, over each distinct word once: a changed word moves few of its bits."""
+    """Like ``fingerprint``, over each distinct word once: a changed word moves few of its bits. No link is decided by it
+    any more; the brute-force version in the tests reads it."""
     own = set(words)
     if not own:
         return 0
@@ -64,21 +68,41 @@ def word_fingerprint(words: list[bytes], seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big")
 
 
-def sketch(words: list[bytes], shingle: int = 5) -> bytes:
-    """SKETCH bytes that agree, in two documents, about as often as their sets of shingles have members in common: the least
-    hash of each of SKETCH classes, empty classes filled from the next one."""
+def shingle_hashes(words: list[bytes], shingle: int = 5) -> np.ndarray:
+    """The set of a document's shingles, as sorted hashes. Fewer words are one shingle."""
     data = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     take = max(1, len(words) - shingle + 1)
     first, last = np.concatenate([[0], ends[:-1] + 1])[:take].tolist(), ends[len(words) - take :].tolist() if words else [0]
-    hashes = np.frombuffer(b"".join([xxhash.xxh64_digest(data[a:b], SEED + 1) for a, b in zip(first, last, strict=False)]), ">u8").astype(np.uint64)
+    return np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(data[a:b], SEED + 1) for a, b in zip(first, last, strict=False)]), ">u8").astype(np.uint64))
+
+
+FLIPS, FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, SKETCH), np.uint64)
+FACTORS |= np.uint64(1)
+
+
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes in each of SKETCH orders."""
     least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, (hashes & np.uint64(SKETCH - 1)).astype(np.int64), hashes >> np.uint64(8))
-    full = np.flatnonzero(least != np.iinfo(np.uint64).max)
-    at = full[np.searchsorted(full, np.arange(SKETCH)) % len(full)]
-    steps = ((at - np.arange(SKETCH)) % SKETCH).astype(np.uint64)
-    mixed = (least[at] + steps * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+    for at in range(0, len(hashes), 512):
+        np.minimum(least, ((hashes[at : at + 512, None] ^ FLIPS) * FACTORS).min(0), out=least)
+    return least
+
+
+def low_bytes(least: np.ndarray) -> bytes:
+    return ((least * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(56)).astype(np.uint8).tobytes()
+
+
+def sketch(words: list[bytes], shingle: int = 5) -> bytes:
+    """SKETCH bytes that agree, in two documents, about as often as their sets of shingles have members in common."""
+    return low_bytes(signature(shingle_hashes(words, shingle)))
+
+
+def bands(least: np.ndarray) -> np.ndarray:
+    """A key for each BAND least hashes: documents alike to 0.8 share none of the 32 with a probability of 5e-8."""
+    data = least.tobytes()
+    size = 8 * BAND
+    return np.array([xxhash.xxh64_intdigest(data[i : i + size], i) for i in range(0, len(data), size)], np.uint64).astype(np.int64)
 
 
 def resembling(sketches: np.ndarray, similar: float):
@@ -92,8 +116,9 @@ def resembling(sketches: np.ndarray, similar: float):
 
 
 def with_fingerprints(df: DataFrame, text: str = "text", keep_text: bool = False, sketches: bool = False) -> DataFrame:
-    """Add ``_fp`` (the fingerprint as a signed 64-bit integer); with ``sketches`` also ``_wp`` (that of the words) and ``_sketch``."""
-    from pyspark.sql.types import BinaryType, LongType, StructField, StructType
+    """Add ``_fp`` (the fingerprint as a signed 64-bit integer); with ``sketches`` also ``_set`` (a digest of the set
+    of five-word shingles), ``_bands`` and ``_sketch``."""
+    from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
     kept = [f for f in df.schema.fields if keep_text or f.name != text]
 
@@ -104,16 +129,19 @@ def with_fingerprints(df: DataFrame, text: str = "text", keep_text: bool = False
             own = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
             more = []
             if sketches:
-                of_words, bodies = [], []
+                sets, keys, bodies = [], [], []
                 for x in column:  # one document's words at a time
                     words = (x.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWERED).split()
-                    of_words.append(word_fingerprint(words))
-                    bodies.append(sketch(words))
-                more = [pa.array(np.array(of_words, np.uint64).astype(np.int64)), pa.array(bodies, pa.binary())]
+                    hashes = shingle_hashes(words)
+                    least = signature(hashes)
+                    sets.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
+                    keys.append(bands(least))
+                    bodies.append(low_bytes(least))
+                more = [pa.array(np.array(sets, np.uint64).astype(np.int64)), pa.array(keys, pa.list_(pa.int64())), pa.array(bodies, pa.binary())]
             yield pa.RecordBatch.from_arrays([*own, pa.array(prints), *more], names=[*[f.name for f in kept], "_fp", *added[1:]])
 
-    added = ["_fp", "_wp", "_sketch"] if sketches else ["_fp"]
-    kinds = [LongType(), LongType(), BinaryType()]
+    added = ["_fp", "_set", "_bands", "_sketch"] if sketches else ["_fp"]
+    kinds = [LongType(), LongType(), ArrayType(LongType()), BinaryType()]
     return df.mapInArrow(run, StructType([*kept, *[StructField(n, k) for n, k in zip(added, kinds, strict=False)]]))
 
 
@@ -124,16 +152,10 @@ def ring(distance: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), sizes[i]) for i in range(m)]
 
 
-def stars(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]], test=None) -> np.ndarray:
-    """The smallest index that each of ``size`` rows is linked to. ``test`` holds pairs that aren't joined yet to more than
-    their fingerprints."""
+def stars(size: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest index that each of ``size`` rows is linked to."""
     label = np.arange(size)
     for a, b in pairs:
-        if test is not None:
-            apart = label[a] != label[b]
-            a, b = a[apart], b[apart]
-            good = test(a, b)
-            a, b = a[good], b[good]
         while True:
             x, y = label[a], label[b]
             if (x == y).all():
@@ -236,16 +258,15 @@ def group_pairs(group: np.ndarray, prints: np.ndarray, role: np.ndarray, start:
             yield i[good], j[good]
 
 
-def links(nodes: DataFrame, distance: int, similar: float | None = None) -> DataFrame:
+def links(nodes: DataFrame, distance: int) -> DataFrame:
     """(u, v), v < u: stars that link the nodes (``_fp``, ``node``) whose fingerprints are near; as many rows as fingerprints
-    in a group at most. With ``similar``, only those whose ``_sketch`` says that they are alike to that degree."""
-    more = [] if similar is None else ["_sketch"]
+    in a group at most."""
     spark, segments = nodes.sparkSession, ring(distance)
     if distance == 0:  # nodes differ, so nothing is linked
         return spark.createDataFrame([], "u long, v long")
     cut = lambda i: F.shiftrightunsigned("_fp", segments[i % len(segments)][0]).bitwiseAND(F.lit((1 << segments[i % len(segments)][1]) - 1))
     parts = F.array(*[F.struct(F.lit(i).alias("seg"), cut(i).alias("block"), cut(i + 1).alias("second")) for i in range(len(segments))])
-    keyed = nodes.select("_fp", "node", *more, F.explode(parts).alias("p")).select("_fp", "node", *more, "p.*")
+    keyed = nodes.select("_fp", "node", F.explode(parts).alias("p")).select("_fp", "node", "p.*")
     total = nodes.count()
     limit = min(MOST, max(LARGE, LARGE_TIMES * total // (1 << segments[0][1])))
     large = keyed.groupBy("seg", "block").count().where(F.col("count") > limit).select("seg", "block", F.lit(True).alias("large"))
@@ -262,9 +283,9 @@ def links(nodes: DataFrame, distance: int, similar: float | None = None) -> Data
                 ),
             ),
         ).otherwise(F.array(F.struct(F.lit(0).alias("role"), F.lit(-1).cast("long").alias("sub"))))
-        keyed = keyed.withColumn("r", F.explode(flips)).select("_fp", "node", *more, "seg", "block", "second", "r.*")
+        keyed = keyed.withColumn("r", F.explode(flips)).select("_fp", "node", "seg", "block", "second", "r.*")
     else:
-        keyed = keyed.select("_fp", "node", *more, "seg", "block", "second", F.lit(0).alias("role"), F.lit(-1).cast("long").alias("sub"))
+        keyed = keyed.select("_fp", "node", "seg", "block", "second", F.lit(0).alias("role"), F.lit(-1).cast("long").alias("sub"))
     keyed = keyed.repartition(partitions(spark), "seg", "block", "sub").sortWithinPartitions("seg", "block", "sub", "second", "_fp", "node")
 
     def linked(part: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -275,10 +296,7 @@ def links(nodes: DataFrame, distance: int, similar: float | None = None) -> Data
         prints = part["_fp"].view(np.uint64)
         for seg in np.unique(part["seg"]).tolist():
             rows = np.flatnonzero(part["seg"] == seg)
-            test = None
-            if similar is not None:
-                test = resembling(np.frombuffer(b"".join(part["_sketch"][rows]), np.uint8).reshape(-1, SKETCH), similar)
-            label = stars(len(rows), group_pairs(group[rows], prints[rows], part["role"][rows], seg, segments, distance), test)
+            label = stars(len(rows), group_pairs(group[rows], prints[rows], part["role"][rows], seg, segments, distance))
             node = part["node"][rows]
             # the star's centre: the smallest node of the star, whichever row has it
             low = np.full(len(rows), np.iinfo(np.int64).max)
@@ -290,7 +308,7 @@ def links(nodes: DataFrame, distance: int, similar: float | None = None) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(edge[:, 0]), pa.array(edge[:, 1])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["_fp", "node", *more, "seg", "block", "second", "role", "sub"]
+        names = ["_fp", "node", "seg", "block", "second", "role", "sub"]
         held: list[dict[str, np.ndarray]] = []
         size = 0
         for batch in batches:
@@ -335,17 +353,122 @@ def components(edges: DataFrame) -> DataFrame:
         state = tuple(sums)
 
 
-def labelled(marked: DataFrame, key: str, distance: int, similar: float | None = None) -> DataFrame:
+def candidates(rows: DataFrame, margin: float, every: bool) -> DataFrame:
+    """(a, u, b, v), a < b: pairs of the rows (``key``, ``row``, ``node``, ``label``, ``_sketch``) of equal key whose labels differ
+    and whose sketches are alike to the degree ``margin``.
+
+    All of them with ``every``; else, in groups of over FEW rows, each row meets the first one and NEIGHBOURS in the order of sketches.
+    """
+    def pairs(size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        at = np.arange(size)
+        if every or size <= FEW:
+            yield from expand(at + 1, np.full(size, size))
+        else:
+            yield np.zeros(size - 1, np.int64), at[1:]
+            for n in range(1, NEIGHBOURS + 1):
+                yield at[:-n], at[n:]
+
+    def met(group: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        row, node, label = group["row"], group["node"], group["label"]
+        test = resembling(np.frombuffer(b"".join(group["_sketch"]), np.uint8).reshape(-1, SKETCH), margin)
+        for i, j in pairs(len(row)):
+            for at in range(0, len(i), PAIRS):
+                a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                good = test(a, b)
+                a, b = a[good], b[good]
+                if len(a):
+                    turn = row[a] > row[b]
+                    a, b = np.where(turn, b, a), np.where(turn, a, b)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[a], node[a], row[b], node[b])], names=["a", "u", "b", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "row", "node", "label", "_sketch"]
+        held: list[dict[str, np.ndarray]] = []
+
+        def groups(last: bool) -> Iterator[pa.RecordBatch]:
+            part = {n: np.concatenate([h[n] for h in held]) for n in names}
+            starts = [*(np.flatnonzero(np.diff(part["key"])) + 1).tolist()]
+            bounds = [0, *starts, *([len(part["key"])] if last else [])]
+            for lo, hi in itertools.pairwise(bounds):
+                yield from met({n: x[lo:hi] for n, x in part.items()})
+            held[:] = [{n: x[bounds[-1] :] for n, x in part.items()}]  # the last group may go on
+
+        size = 0
+        for batch in batches:
+            held.append({n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names})
+            size += len(batch)
+            if size >= ROWS:
+                yield from groups(False)
+                size = 0
+        if held:
+            yield from groups(True)
+
+    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "_sketch", "row")
+    return dealt.mapInArrow(run, "a long, u long, b long, v long").distinct()
+
+
+def shingle_sets(texts: DataFrame) -> DataFrame:
+    """(``row``, ``shingles``) of ``texts`` (``row``, ``text``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes((x.as_py() or "").encode("utf-8", "surrogatepass").translate(LOWERED).split()).astype(np.int64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["row", "shingles"])
+
+    return texts.select("row", "text").mapInArrow(run, "row long, shingles array<long>")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """(u, v) of the pairs whose sets are alike to the degree ``similar``, by count."""
+    of = lambda x: sets.select(F.col("row").alias(x), F.col("shingles").alias(f"s{x}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    alike = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", both)
+    return alike.where(F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")) >= similar).select("u", "v")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, known: DataFrame, similar: float) -> DataFrame:
+    """(u, v): the links ``known`` and enough of those between ``nodes`` (``row``, ``node``, ``_bands``, ``_sketch``) alike to the degree
+    ``similar`` to make the same components as all of them.
+
+    Nodes that share a band and whose sketches come near are compared by their sets of shingles. What is joined already is not
+    compared any more, so first large groups meet in part, and then what is still apart in full.
+    """
+    keyed = nodes.select("row", "node", F.explode("_bands").alias("key"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
+    shared = materialise(shared.join(nodes.select("row", "_sketch"), "row"), "bands")
+    some = shared.select("row").distinct()
+    sets = materialise(shingle_sets(texts.join(some, "row")), "sets", texts=True)
+    tested = None
+    for every in (False, True):
+        labels = components(known)
+        rows = shared.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
+        over = Window.partitionBy("key")
+        rows = rows.where("node is not null").withColumns({"_lo": F.min("label").over(over), "_hi": F.max("label").over(over)}).where("_lo != _hi")
+        pairs = candidates(rows.select("key", "row", "node", "label", "_sketch"), similar - MARGIN, every)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        known = materialise(known.unionByName(confirmed(pairs, sets, similar)), "links")
+        tested = pairs.select("a", "b")
+    return known
+
+
+def labelled(marked: DataFrame, key: str, distance: int, similar: float | None = None, text: str = "text") -> DataFrame:
     """(``_fp``, ``component_id``) for each fingerprint of ``marked``, written to the shared folder: a plain scan, so that a
-    join with it can be split where a fingerprint is frequent. With ``similar``, links of the words' fingerprints that the
-    sketches bear out come on top."""
+    join with it can be split where a fingerprint is frequent. With ``similar``, links between similar sets of shingles come on
+    top; the smallest id of each fingerprint takes part."""
     key_of = F.col(key).cast("long")
-    first = F.min(F.struct(key_of.isNull().alias("none"), key_of.alias("node"), *(["_wp", "_sketch"] if similar is not None else [])))
+    first = F.min(F.struct(key_of.isNull().alias("none"), key_of.alias("node")))
     nodes = materialise(marked.groupBy("_fp").agg(first.alias("first")).select("_fp", "first.*").drop("none"), "nodes")
     known = nodes.where("node is not null")
     found = links(known.select("_fp", "node"), distance)
     if similar is not None:
-        found = found.unionByName(links(known.select(F.col("_wp").alias("_fp"), "node", "_sketch"), WORD_DISTANCE, similar))
+        own = marked.where(key_of.isNotNull())
+        least = F.min(F.struct(key_of.alias("node"), F.col("_row").alias("row"), "_bands", "_sketch"))
+        sets = materialise(own.groupBy("_fp").agg(least.alias("first")).select("_fp", "first.*"), "nodes")
+        found = similar_links(sets, marked.select(F.col("_row").alias("row"), F.col(text).alias("text")), found, similar)
     labels = nodes.select("_fp", "node").join(components(found), "node", "left").select("_fp", F.coalesce("component", "node").alias("component_id"))
     return materialise(labels, "labels")
 
@@ -368,17 +491,17 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance
     """The row of the smallest key of each component; of repeated rows one. Components whose keys are all null are told apart
     by fingerprint. Columns stay as they are; names beginning with ``_`` are reserved.
 
-    ``similar``: documents whose words' fingerprints differ in at most WORD_DISTANCE bits and whose sets of five-word shingles
-    are alike to this degree, by their sketches, are linked too. Fingerprints of shingles seldom come as near for them.
+    ``similar``: documents whose sets of five-word shingles have this share of their union in common, by count, are linked too.
+    Fingerprints of shingles seldom come as near for them.
     """
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     marked = materialise(with_fingerprints(rows, text, True, similar is not None), "fingerprints", texts=True)  # here row numbers become fixed
-    labels = labelled(marked, key, distance, similar)
+    labels = labelled(marked, key, distance, similar, text)
     small = marked.select("_row", "_fp", F.col(key).alias("_key")).join(labels, "_fp")
     small = small.withColumn("_alone", F.when(F.col("component_id").isNull(), F.col("_fp")))
     first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row"))
     kept = small.groupBy("component_id", "_alone").agg(first.alias("first")).select("first._row")
-    return marked.join(kept, "_row", "left_semi").drop("_row", "_fp", "_wp", "_sketch")
+    return marked.join(kept, "_row", "left_semi").drop("_row", "_fp", "_set", "_bands", "_sketch")
 
 
 def op9_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,21 @@ def test_similar_documents_are_found_and_others_stay(spark):
     pairs = [(i, j) for i in sets for j in sets if i < j and len(sets[i]) > 20 and alike(i, j) >= 0.8]
     lost = [(i, j) for i, j in pairs if i in kept and j in kept]
     assert pairs and len(lost) <= 0.1 * len(pairs)
+
+
+def test_similar_by_count_on_either_side_of_the_threshold(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(40):  # five-word similarity 0.815 and 0.774 in turn
+        base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        other = list(base)
+        for n in range(4 + k % 2):
+            other[20 + 40 * n - 10 * (n == 4)] = f"new{k}x{n}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    of = [shingles(t) for _, t in rows]
+    alike = [len(a & b) / len(a | b) for a, b in zip(of[::2], of[1::2], strict=True)]
+    assert all(0.8 <= x < 0.83 for x in alike[::2]) and all(0.76 < x < 0.8 for x in alike[1::2])
+    near = [(brute_print(a) ^ brute_print(b)).bit_count() <= 4 for (_, a), (_, b) in zip(rows[::2], rows[1::2], strict=True)]
+    assert sum(near[1::2]) < 10
+    kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows), similar=0.8).collect()}
+    assert kept == {i for i, _ in rows if i % 2 == 0 or i % 4 == 3 and not near[i // 2]}
