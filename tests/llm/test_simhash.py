@@ -173,3 +173,39 @@ def test_similar_by_count_on_either_side_of_the_threshold(spark):
     assert sum(near[1::2]) < 10
     kept = {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows), similar=0.8).collect()}
     assert kept == {i for i, _ in rows if i % 2 == 0 or i % 4 == 3 and not near[i // 2]}
+
+
+def test_copies_with_an_added_or_cut_passage(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(60):
+        base = [f"w{int(5000 ** rng.random())}" for _ in range(200)]
+        other = base + [f"w{int(5000 ** rng.random())}" for _ in range(40)] if k % 2 else base[: 165 + k % 9]
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    of = [shingles(t) for _, t in rows]
+    assert all(len(a & b) / len(a | b) >= 0.8 for a, b in zip(of[::2], of[1::2], strict=True))
+    assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows), similar=0.8).collect()} == {i for i, _ in rows if i % 2 == 0}
+
+
+@pytest.mark.parametrize("few, rows", [(64, 1 << 16), (2, 50)])
+def test_large_group_of_near_copies(spark, monkeypatch, few, rows):
+    monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "ROWS", rows)
+    monkeypatch.setattr(simhash, "PAIRS", 100)
+    rng = random.Random(10)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    docs = []
+    for i in range(120):
+        other = list(base)
+        for at in rng.sample(range(150), rng.randrange(8)):
+            other[at] = f"n{rng.randrange(5000)}"
+        docs.append((i, " ".join(other)))
+    sets = [shingles(t) for _, t in docs]
+    parent = list(components([brute_print(t) for _, t in docs]))
+    for _ in range(9):  # until nothing changes
+        for i in range(120):
+            for j in range(i):
+                if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8:
+                    parent[i] = parent[j] = min(parent[i], parent[j], parent[parent[i]], parent[parent[j]])
+    want = {i for i in range(120) if parent[i] == i}
+    assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, docs), similar=0.8).collect()} == want
