@@ -458,7 +458,7 @@ def similar_links(nodes: DataFrame, texts: DataFrame, known: DataFrame, similar:
 def labelled(marked: DataFrame, key: str, distance: int, similar: float | None = None, text: str = "text") -> DataFrame:
     """(``_fp``, ``component_id``) for each fingerprint of ``marked``, written to the shared folder: a plain scan, so that a
     join with it can be split where a fingerprint is frequent. With ``similar``, links between similar sets of shingles come on
-    top; the smallest id of each fingerprint takes part."""
+    top; each distinct set takes part, tied to the fingerprints it occurs with."""
     key_of = F.col(key).cast("long")
     first = F.min(F.struct(key_of.isNull().alias("none"), key_of.alias("node")))
     nodes = materialise(marked.groupBy("_fp").agg(first.alias("first")).select("_fp", "first.*").drop("none"), "nodes")
@@ -467,7 +467,9 @@ def labelled(marked: DataFrame, key: str, distance: int, similar: float | None =
     if similar is not None:
         own = marked.where(key_of.isNotNull())
         least = F.min(F.struct(key_of.alias("node"), F.col("_row").alias("row"), "_bands", "_sketch"))
-        sets = materialise(own.groupBy("_fp").agg(least.alias("first")).select("_fp", "first.*"), "nodes")
+        sets = materialise(own.groupBy("_set").agg(least.alias("first")).select("_set", "first.*"), "nodes")
+        ties = own.select("_fp", "_set").distinct().join(known.select("_fp", F.col("node").alias("v")), "_fp").join(sets.select("_set", F.col("node").alias("u")), "_set")
+        found = materialise(found.unionByName(ties.where("u != v").select("u", "v")), "links")
         found = similar_links(sets, marked.select(F.col("_row").alias("row"), F.col(text).alias("text")), found, similar)
     labels = nodes.select("_fp", "node").join(components(found), "node", "left").select("_fp", F.coalesce("component", "node").alias("component_id"))
     return materialise(labels, "labels")

@@ -209,3 +209,13 @@ def test_large_group_of_near_copies(spark, monkeypatch, few, rows):
                     parent[i] = parent[j] = min(parent[i], parent[j], parent[parent[i]], parent[parent[j]])
     want = {i for i in range(120) if parent[i] == i}
     assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, docs), similar=0.8).collect()} == want
+
+
+def test_texts_of_one_fingerprint_link_by_each_of_their_sets(spark):
+    rng = random.Random(11)
+    first, second = ([f"w{rng.randrange(5000)}" for _ in range(100)] for _ in range(2))
+    changed = [*second[:50], "new", *second[51:]]
+    rows = [(1, " ".join(first + ["same"] * 400)), (2, " ".join(second + ["same"] * 400)), (3, " ".join(changed + ["same"] * 9))]
+    prints = [simhash.fingerprint(t) for _, t in rows]
+    assert prints[0] == prints[1] and (prints[0] ^ prints[2]).bit_count() > 4
+    assert [r["doc_id"] for r in simhash.one_of_each(frame(spark, rows), similar=0.8).collect()] == [1]
