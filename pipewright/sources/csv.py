@@ -54,6 +54,7 @@ class Shard:
 
     def __init__(self, path: str, columns: list[str], header: bool):
         self.path, self.columns, self.header = path, columns, header
+        self.quoted_lines: bool | None = None
 
 
 class CsvSource(Prepared):
@@ -130,9 +131,11 @@ class CsvSource(Prepared):
         return df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
     def quoted_lines(self, shard: Shard) -> bool:
-        """Whether cells seem to hold line ends, which takes a reader that cannot split the file."""
-        rows = self.spark.read.text(shard.path).limit(2000).collect()
-        return any(r[0].count('"') % 2 for r in rows)
+        """Whether cells anywhere in the file seem to hold line ends, which takes a reader that cannot split it. Asked once."""
+        if shard.quoted_lines is None:
+            quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+            shard.quoted_lines = bool(self.spark.read.text(shard.path).agg(F.max(quotes % 2)).first()[0])
+        return shard.quoted_lines
 
     def cells(self, shard: Shard, number: int, ordered: bool) -> DataFrame:
         df = self.read(shard)

@@ -53,6 +53,12 @@ def test_csv_quotes_and_nulls(at):
     assert at.rows("a.csv") == [('x, "y"', 1), (None, 2), (None, None), ("two\nlines", 4)]
 
 
+def test_csv_first_line_end_in_quotes_is_late(at):
+    at.write("a.csv", "a,b\n" + "x,1\n" * 2500 + '"two\nlines",2\n').write("one.csv", "a\n" + "x\n" * 2500 + '"two\nlines"\n')
+    assert at.rows("a.csv")[2500:] == [("two\nlines", 2)]
+    assert at.rows("one.csv")[2500:] == [("two\nlines",)]
+
+
 def test_csv_header_blank_lines_and_mark(at):
     at.write("a.csv", "﻿\n\na b,c\n1,2\n\n3,4\n")
     assert at.rows("a.csv | filter { `a b` > 1 }") == [(3, 4)]
