@@ -3,11 +3,25 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from helpers import ODD, documents, frame
 
 from pipewright.llm import languages
 
 
+def saved(folder, *trees):
+    """Files as ``train`` leaves them."""
+    names = []
+    for i, t in enumerate(trees):
+        (folder / f"group-{i}").write_bytes(cloudpickle.dumps(t))
+        names.append((folder / f"group-{i}").as_uri())
+    return names
+
+
+def learned(models):
+    return sorted(k for t in languages.Models(models) for k in t.languages)
+
+
 def brute_bits(train, text):
     """Code length by walking the contexts down, byte by byte."""
     stats = {}
@@ -45,13 +59,22 @@ def test_code_lengths(monkeypatch, block):
     assert np.allclose(got, want, rtol=1e-5, atol=1e-3)
 
 
-def test_frame(spark):
-    trees = languages.Trees({"en": [b"the cat and the dog sat on the mat " * 5], "de": ["der hund und die katze sind im haus ".encode() * 5]})
+@pytest.mark.parametrize("held", [0, 1 << 28])
+@pytest.mark.parametrize("together", [True, False])
+def test_frame(spark, tmp_path, monkeypatch, together, held):
+    monkeypatch.setattr(languages, "HELD_BYTES", held)
+    texts = {"en": [b"the cat and the dog sat on the mat " * 5], "de": ["der hund und die katze sind im haus ".encode() * 5]}
+    whole = languages.Trees(texts)
+    trees = saved(tmp_path, *([whole] if together else [languages.Trees({k: v}) for k, v in texts.items()]))
     rows = [*ODD, (40, "the dog and the cat"), (41, "der hund und das haus"), (42, "12345 ½ ²"), (43, "...")]
     got = {(r["doc_id"], r["text"]): r for r in languages.identify(frame(spark, rows).withColumnRenamed("source", "score"), trees).collect()}
     for r in got.values():
         assert r["lang_pred"] in ("en", "de", "und") and 0 <= r["score"] <= 1
         assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in r["text"] or ""))
+    for text in ("the dog and the cat", "word " * 30000):  # the posterior over both groups
+        bits = whole.score([text.encode()])[0]
+        row = next(r for (_, t), r in got.items() if t == text)
+        assert row["lang_pred"] == whole.languages[bits.argmin()] and math.isclose(row["score"], 1 / (2.0 ** (bits.min() - bits)).sum(), rel_tol=1e-6)
     assert got[40, rows[-4][1]]["lang_pred"] == "en" and got[41, rows[-3][1]]["lang_pred"] == "de"
     assert languages.identify(frame(spark, []), trees).collect() == []
 
@@ -63,7 +86,33 @@ def test_nothing_learned(spark):
 
 def test_only_training_rows_teach(spark):
     rows = [(i, f"text of {i}", "en" if zlib.crc32(str(i).encode()) % 4 != 2 else "xx") for i in range(200)]
-    assert languages.train(frame(spark, rows)).languages == ["en"]
+    assert learned(languages.train(frame(spark, rows))) == ["en"]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(i, f"w{i % 70} " * (9000 if i % 70 == 3 else 20), f"l{i % 70}") for i in range(700)]  # one language has long texts only
+    models = languages.train(frame(spark, rows))
+    assert len(models) > 5 and learned(models) == sorted({r[2] for r in rows})
+    got = {r["doc_id"]: r["lang_pred"] for r in languages.identify(frame(spark, rows), models).collect()}
+    assert sum(got[i] == k for i, _, k in rows) > 0.9 * len(rows)
+
+
+def test_equal_rows_are_no_sample(spark):
+    rows = [(None, "the same", "en")] * 3000 + [(i, f"text {i}", "en") for i in range(100)]
+    got = languages.sample(frame(spark, rows), "doc_id", "text", "lang").collect()
+    assert 60 < len(got) <= 101 and len({r["h"] for r in got}) == len(got)
+
+
+def test_sparse_levels(monkeypatch):
+    want = languages.Trees(TRAIN).score(TEXTS)
+    monkeypatch.setattr(languages, "DENSE", 1)
+    assert (languages.Trees(TRAIN).score(TEXTS) == want).all()
+
+
+def test_text_column_named_like_an_output(spark, tmp_path):
+    trees = saved(tmp_path, languages.Trees({"en": [b"the cat"]}))
+    docs = frame(spark, [(1, "the cat", None)]).withColumnRenamed("text", "score")
+    assert [(r["lang_pred"], r["score"] > 0) for r in languages.identify(docs, trees, text="score").collect()] == [("en", True)]
 
 
 def test_sample_is_bounded(spark, monkeypatch):
