@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,31 +17,64 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = str.maketrans(UPPER, LOWER)
 
 _own_dir: list[str] = []
+#: Folders made in the shared folder that are still there.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Only where all run on one machine, and it is unset,
+    a temporary one."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append("file://" + tempfile.mkdtemp(prefix="pipewright-"))
     return _own_dir[0]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder's name. What is in it when the program ends is removed, if nobody removed it before (see ``discard``)."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Remove scratch folders that no plan reads any more."""
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _made.remove(path)
+
+
+def made() -> list[str]:
+    """The scratch folders there are, oldest first."""
+    return list(_made)
+
+
+@atexit.register
+def _discard_all() -> None:
+    for path in _made:
+        try:
+            system, name = fs.FileSystem.from_uri(path)
+            system.delete_dir(name)
+        except (OSError, ValueError):  # never made, or in a store that only Spark reaches
+            pass
 
 
 def materialise(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
-    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back.
+    """Cut the lineage: write ``df`` as Parquet to the shared folder and read it back. ``scratch_path`` of the result is its folder.
 
     Narrow rows are rebalanced first, so that a table has as many files as its size calls for, not as its tasks were;
     tables with texts are written where they are.
     """
     path = scratch(df.sparkSession, name)
     (df if texts else df.hint("rebalance")).write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def partitions(spark: SparkSession) -> int:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, materialise, partitions, table
+from .common import LOWER, UPPER, discard, materialise, partitions, table
 
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -35,6 +35,8 @@ MARGIN = 0.2
 FEW, NEIGHBOURS = 64, 4
 #: A group of more rows than LARGE, and than so many times the mean, is parted by its second segment; one of over MOST rows always.
 LARGE, LARGE_TIMES, MOST = 4096, 4, 1 << 20
+#: Rows of a group whose sets a task compares; larger groups are compared block by block.
+BLOCK_ROWS = 1 << 14
 #: The longest chain that is looked up in a group.
 MAX_DEPTH = 4
 
@@ -57,17 +59,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> i
     return int.from_bytes(np.packbits(2 * counts > take).tobytes(), "big")
 
 
-def word_fingerprint(words: list[bytes], seed: int = SEED) -> int:
-    """Like ``fingerprint``, over each distinct word once: a changed word moves few of its bits. No link is decided by it
-    any more; the brute-force version in the tests reads it."""
-    own = set(words)
-    if not own:
-        return 0
-    hashes = b"".join([xxhash.xxh64_digest(w, seed) for w in own])
-    counts = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(own)).tobytes(), "big")
-
-
 def shingle_hashes(words: list[bytes], shingle: int = 5) -> np.ndarray:
     """The set of a document's shingles, as sorted hashes. Fewer words are one shingle."""
     data = b" ".join(words)
@@ -260,7 +251,7 @@ def group_pairs(group: np.ndarray, prints: np.ndarray, role: np.ndarray, start:
 
 def links(nodes: DataFrame, distance: int) -> DataFrame:
     """(u, v), v < u: stars that link the nodes (``_fp``, ``node``) whose fingerprints are near; as many rows as fingerprints
-    in a group at most."""
+    in a group at most. The table of ``large`` groups is small."""
     spark, segments = nodes.sparkSession, ring(distance)
     if distance == 0:  # nodes differ, so nothing is linked
         return spark.createDataFrame([], "u long, v long")
@@ -335,9 +326,11 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star rounds until nothing changes; each round's edges are written to the shared folder. A hub's
     edges meet its minimum in a join that adaptive execution can split.
     """
+    spark = edges.sparkSession
     edges = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     state = None
     while True:
+        before = edges
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
@@ -346,67 +339,130 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         sums = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(spark, before.scratch_path, large.scratch_path)
         if tuple(sums) == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
+            out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
                 edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
+            out.scratch_path = edges.scratch_path
+            return out
         state = tuple(sums)
 
 
-def candidates(rows: DataFrame, margin: float, every: bool) -> DataFrame:
-    """(a, u, b, v), a < b: pairs of the rows (``key``, ``row``, ``node``, ``label``, ``_sketch``) of equal key whose labels differ
-    and whose sketches are alike to the degree ``margin``.
+def by_key(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by ``keys``, a group at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        change = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+        for lo, hi in itertools.pairwise([0, *change.tolist(), len(batch)]):
+            key = tuple(c[lo] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(lo, hi - lo))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def column(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].to_numpy()
+
+
+def likely_pairs(rows: DataFrame, margin: float) -> DataFrame:
+    """(a, b), a < b: some pairs of the rows (``key``, ``row``, ``label``, ``_sketch``) of equal key whose labels differ and whose sketches
+    are alike to the degree ``margin``: all in groups of up to FEW rows; in larger ones each row meets the first one and
+    NEIGHBOURS in the order of sketches, so their number is in proportion to the rows."""
 
-    All of them with ``every``; else, in groups of over FEW rows, each row meets the first one and NEIGHBOURS in the order of sketches.
-    """
     def pairs(size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at = np.arange(size)
-        if every or size <= FEW:
+        if size <= FEW:
             yield from expand(at + 1, np.full(size, size))
         else:
             yield np.zeros(size - 1, np.int64), at[1:]
             for n in range(1, NEIGHBOURS + 1):
                 yield at[:-n], at[n:]
 
-    def met(group: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        row, node, label = group["row"], group["node"], group["label"]
-        test = resembling(np.frombuffer(b"".join(group["_sketch"]), np.uint8).reshape(-1, SKETCH), margin)
-        for i, j in pairs(len(row)):
-            for at in range(0, len(i), PAIRS):
-                a, b = i[at : at + PAIRS], j[at : at + PAIRS]
-                apart = label[a] != label[b]
-                a, b = a[apart], b[apart]
-                good = test(a, b)
-                a, b = a[good], b[good]
-                if len(a):
-                    turn = row[a] > row[b]
-                    a, b = np.where(turn, b, a), np.where(turn, a, b)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (row[a], node[a], row[b], node[b])], names=["a", "u", "b", "v"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches, ["key"]):
+            row, label = column(group, "row"), column(group, "label")
+            test = resembling(np.frombuffer(b"".join(group["_sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH), margin)
+            for i, j in pairs(len(row)):
+                for at in range(0, len(i), PAIRS):
+                    a, b = i[at : at + PAIRS], j[at : at + PAIRS]
+                    apart = label[a] != label[b]
+                    a, b = a[apart], b[apart]
+                    good = test(a, b)
+                    a, b = row[a[good]], row[b[good]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    dealt = rows.select("key", "row", "label", "_sketch").repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "_sketch", "row")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def links_between(rows: DataFrame, margin: float, similar: float) -> DataFrame:
+    """(u, v), v < u: stars that join the labels of all rows (``key``, ``low``, ``high``, ``own``, ``band``, ``row``, ``label``, ``_bands``, ``_sketch``,
+    ``shingles``) of equal (key, low, high) whose sets are alike to the degree ``similar``.
+
+    ``own``: the block of a row; with low < high only rows of different blocks meet. A group's pairs stay in its task: pairs of one
+    label, or of labels joined meanwhile, aren't looked at, sketches and the first band that a pair shares tell which are
+    counted, and what leaves the task is one link for each label at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "row", "node", "label", "_sketch"]
-        held: list[dict[str, np.ndarray]] = []
+        for group in by_key(batches, ["key", "low", "high"]):
+            names, label = np.unique(column(group, "label"), return_inverse=True)
+            own, band = column(group, "own"), column(group, "band")[0]
+            cross = group["low"][0] != group["high"][0]
+            bands = group["_bands"].chunk(0).flatten().to_numpy().reshape(len(own), -1)
+            test = resembling(np.frombuffer(b"".join(group["_sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH), margin)
+            sets = group["shingles"].chunk(0)
+            held: dict[int, frozenset] = {}
+            root = np.arange(len(names))
+
+            def members(i: int, sets=sets, held=held) -> frozenset:
+                if i not in held:
+                    if len(held) >= ROWS:
+                        held.clear()
+                    held[i] = frozenset(sets[i].values.to_pylist())
+                return held[i]
+
+            # labels with few rows meet all others; rows of one label are never paired
+            order = np.lexsort((label, np.bincount(label)[label]))
+            turn = label[order]
+            for i, j in expand(last_of_run(turn), np.full(len(turn), len(turn))):
+                a, b = order[i], order[j]
+                keep = root[label[a]] != root[label[b]]
+                if cross:
+                    keep &= own[a] != own[b]
+                a, b = a[keep], b[keep]
+                good = test(a, b)
+                a, b = a[good], b[good]
+                good = (bands[a] == bands[b]).argmax(1) == band
+                for x, y in zip(a[good].tolist(), b[good].tolist(), strict=True):
+                    p, q = root[label[x]], root[label[y]]
+                    if p != q:
+                        left, right = members(x), members(y)
+                        both = len(left & right)
+                        if both >= similar * (len(left) + len(right) - both):
+                            root[root == max(p, q)] = min(p, q)
+            joined = np.flatnonzero(root != np.arange(len(root)))
+            if len(joined):
+                yield pa.RecordBatch.from_arrays([pa.array(names[joined]), pa.array(names[root[joined]])], names=["u", "v"])
 
-        def groups(last: bool) -> Iterator[pa.RecordBatch]:
-            part = {n: np.concatenate([h[n] for h in held]) for n in names}
-            starts = [*(np.flatnonzero(np.diff(part["key"])) + 1).tolist()]
-            bounds = [0, *starts, *([len(part["key"])] if last else [])]
-            for lo, hi in itertools.pairwise(bounds):
-                yield from met({n: x[lo:hi] for n, x in part.items()})
-            held[:] = [{n: x[bounds[-1] :] for n, x in part.items()}]  # the last group may go on
+    dealt = rows.repartition(partitions(rows.sparkSession), "key", "low", "high").sortWithinPartitions("key", "low", "high", "row")
+    return dealt.mapInArrow(run, "u long, v long").distinct()
 
-        size = 0
-        for batch in batches:
-            held.append({n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names})
-            size += len(batch)
-            if size >= ROWS:
-                yield from groups(False)
-                size = 0
-        if held:
-            yield from groups(True)
 
-    dealt = rows.repartition(partitions(rows.sparkSession), "key").sortWithinPartitions("key", "_sketch", "row")
-    return dealt.mapInArrow(run, "a long, u long, b long, v long").distinct()
+def last_of_run(values: np.ndarray) -> np.ndarray:
+    """For each place the end of the run of equal values that it is in."""
+    new = np.flatnonzero(np.append(values[1:] != values[:-1], True)) + 1
+    return new[np.searchsorted(new, np.arange(len(values)), "right")]
 
 
 def shingle_sets(texts: DataFrame) -> DataFrame:
@@ -421,77 +477,99 @@ def shingle_sets(texts: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
-    """(u, v) of the pairs whose sets are alike to the degree ``similar``, by count."""
+    """(u, v) of the pairs (a, b) whose sets are alike to the degree ``similar``, by count."""
     of = lambda x: sets.select(F.col("row").alias(x), F.col("shingles").alias(f"s{x}"))
     both = F.size(F.array_intersect("sa", "sb"))
     alike = pairs.join(of("a"), "a").join(of("b"), "b").withColumn("both", both)
-    return alike.where(F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")) >= similar).select("u", "v")
+    return alike.where(F.col("both") / (F.size("sa") + F.size("sb") - F.col("both")) >= similar).select(F.col("b").alias("u"), F.col("a").alias("v"))
 
 
 def similar_links(nodes: DataFrame, texts: DataFrame, known: DataFrame, similar: float) -> DataFrame:
-    """(u, v): the links ``known`` and enough of those between ``nodes`` (``row``, ``node``, ``_bands``, ``_sketch``) alike to the degree
+    """(u, v): the links ``known`` and enough of those between ``nodes`` (``row``, ``_bands``, ``_sketch``) alike to the degree
     ``similar`` to make the same components as all of them.
 
-    Nodes that share a band and whose sketches come near are compared by their sets of shingles. What is joined already is not
-    compared any more, so first large groups meet in part, and then what is still apart in full.
+    Nodes that share a band and whose sketches come near are compared by their sets of shingles. First each meets a number of
+    others that doesn't grow with its group. Then only groups of over FEW rows that hold several components are looked at in
+    full, each in one task or, if it has over BLOCK_ROWS rows, in a task for each two blocks of it; their sets go there, and no pair
+    leaves a task.
     """
-    keyed = nodes.select("row", "node", F.explode("_bands").alias("key"))
-    shared = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("n > 1").drop("n")
-    shared = materialise(shared.join(nodes.select("row", "_sketch"), "row"), "bands")
-    some = shared.select("row").distinct()
-    sets = materialise(shingle_sets(texts.join(some, "row")), "sets", texts=True)
-    tested = None
-    for every in (False, True):
-        labels = components(known)
-        rows = shared.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node"))
-        over = Window.partitionBy("key")
-        rows = rows.where("node is not null").withColumns({"_lo": F.min("label").over(over), "_hi": F.max("label").over(over)}).where("_lo != _hi")
-        pairs = candidates(rows.select("key", "row", "node", "label", "_sketch"), similar - MARGIN, every)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        known = materialise(known.unionByName(confirmed(pairs, sets, similar)), "links")
-        tested = pairs.select("a", "b")
-    return known
+    spark = nodes.sparkSession
+    over = Window.partitionBy("key")
+    keyed = nodes.select("row", F.posexplode("_bands").alias("band", "key"))
+    shared = keyed.withColumn("n", F.count(F.lit(1)).over(over)).where("n > 1")
+    shared = materialise(shared, "bands")
+    sets = materialise(shingle_sets(texts.join(shared.select("row").distinct(), "row")), "sets", texts=True)
+    marked = nodes.select("row", "_sketch", "_bands")
+
+    def apart(rows: DataFrame, found: DataFrame) -> DataFrame:
+        """Rows with their component as ``label``, of groups that hold several."""
+        rows = rows.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("label", F.coalesce("component", "row"))
+        return rows.drop("component").withColumns({"_lo": F.min("label").over(over), "_hi": F.max("label").over(over)}).where("_lo != _hi").drop("_lo", "_hi")
+
+    before = components(known)
+    first = apart(shared, before).join(marked.drop("_bands"), "row")
+    pairs = materialise(likely_pairs(first, similar - MARGIN), "pairs")
+    known = materialise(known.unionByName(confirmed(pairs, sets, similar)), "links")
+    blocks = F.ceil(F.col("n") / BLOCK_ROWS).cast("int")
+    after = components(known)
+    rest = apart(shared.where(F.col("n") > FEW), after).withColumn("own", F.pmod(F.xxhash64("row"), blocks).cast("int"))
+    rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rest = rest.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "n")
+    rest = materialise(rest, "bands")  # rows that few documents are in, as a rule
+    found = links_between(rest.join(marked, "row").join(sets, "row"), similar - MARGIN, similar)
+    out = materialise(known.unionByName(found), "links")
+    discard(spark, *[x.scratch_path for x in (shared, sets, before, pairs, known, after, rest)])
+    return out
 
 
 def labelled(marked: DataFrame, key: str, distance: int, similar: float | None = None, text: str = "text") -> DataFrame:
-    """(``_fp``, ``component_id``) for each fingerprint of ``marked``, written to the shared folder: a plain scan, so that a
-    join with it can be split where a fingerprint is frequent. With ``similar``, links between similar sets of shingles come on
-    top; each distinct set takes part, tied to the fingerprints it occurs with."""
-    key_of = F.col(key).cast("long")
-    first = F.min(F.struct(key_of.isNull().alias("none"), key_of.alias("node")))
-    nodes = materialise(marked.groupBy("_fp").agg(first.alias("first")).select("_fp", "first.*").drop("none"), "nodes")
-    known = nodes.where("node is not null")
-    found = links(known.select("_fp", "node"), distance)
+    """(``_fp``, ``root``, ``component_id``) for each fingerprint of ``marked`` (with ``_row``, a number for each row), written to the
+    shared folder: a plain scan, so that a join with it can be split where a fingerprint is frequent.
+
+    A fingerprint's node is its first row, so each is a node of its own whatever the keys are; ``component_id`` is the smallest key
+    of a component, null if it has none. With ``similar``, links between similar sets of shingles come on top; each distinct set
+    takes part, as its first row, tied to the fingerprints it occurs with."""
+    nodes = marked.groupBy("_fp").agg(F.min("_row").alias("node"), F.min(F.col(key).cast("long")).alias("least"))
+    nodes = materialise(nodes, "nodes")
+    found = links(nodes.select("_fp", "node"), distance)
+    done = [nodes.scratch_path]
     if similar is not None:
-        own = marked.where(key_of.isNotNull())
-        least = F.min(F.struct(key_of.alias("node"), F.col("_row").alias("row"), "_bands", "_sketch"))
-        sets = materialise(own.groupBy("_set").agg(least.alias("first")).select("_set", "first.*"), "nodes")
-        ties = own.select("_fp", "_set").distinct().join(known.select("_fp", F.col("node").alias("v")), "_fp").join(sets.select("_set", F.col("node").alias("u")), "_set")
+        sets = marked.groupBy("_set").agg(F.min(F.struct(F.col("_row").alias("row"), "_bands", "_sketch")).alias("first")).select("_set", "first.*")
+        sets = materialise(sets, "sets")
+        ties = marked.select("_fp", "_set").distinct().join(nodes.select("_fp", F.col("node").alias("v")), "_fp").join(sets.select("_set", F.col("row").alias("u")), "_set")
         found = materialise(found.unionByName(ties.where("u != v").select("u", "v")), "links")
+        done += [sets.scratch_path, found.scratch_path]
         found = similar_links(sets, marked.select(F.col("_row").alias("row"), F.col(text).alias("text")), found, similar)
-    labels = nodes.select("_fp", "node").join(components(found), "node", "left").select("_fp", F.coalesce("component", "node").alias("component_id"))
-    return materialise(labels, "labels")
+        done.append(found.scratch_path)
+    whole = components(found)
+    labels = nodes.join(whole, "node", "left").withColumn("root", F.coalesce("component", "node"))
+    least = labels.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = materialise(labels.select("_fp", "root").join(least, "root").select("_fp", "root", "component_id"), "labels")
+    discard(marked.sparkSession, *done, whole.scratch_path)
+    return out
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, keep_text: bool = False) -> DataFrame:
     """Add ``fingerprint`` (16 hex digits) and ``component_id`` (the smallest key reachable over links of at most ``distance``
     differing bits, its own included) to each row.
 
-    Null and empty texts have fingerprint 0 and link like any other. Rows with a null key have a fingerprint, and the
-    component of the rows that share it, but link nothing (all of them null: a null component). Repeated rows and keys share
-    what their texts say. An empty table stays empty. ``keep_text=False`` drops the text; other columns pass through,
-    columns of the names above are replaced, and names beginning with ``_`` are reserved.
+    Null and empty texts have fingerprint 0 and link like any other. Rows with a null key link like any other too; a component
+    of such rows only has a null id. Repeated rows and keys share what their texts say, and different texts under one key
+    aren't linked by it. An empty table stays empty. A very long text is fingerprinted in stretches of BITS shingles.
+    ``keep_text=False`` drops the text; other columns pass through, columns of the names above are replaced (one that holds the
+    texts or keys is read first), and names beginning with ``_`` are reserved.
     """
-    marked = materialise(with_fingerprints(df.drop("fingerprint", "component_id"), text, keep_text), "fingerprints", texts=keep_text)
-    out = marked.join(labelled(marked, key, distance), "_fp")
-    return out.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp")
+    names = ["fingerprint", "component_id"]
+    spare = df.drop(*[n for n in names if n not in (key, text)]).withColumn("_row", F.monotonically_increasing_id())
+    marked = materialise(with_fingerprints(spare, text, keep_text), "fingerprints", texts=keep_text)
+    labels = labelled(marked, key, distance).withColumnRenamed("component_id", "_component")
+    out = marked.join(labels, "_fp").withColumns({"fingerprint": F.lpad(F.lower(F.hex("_fp")), 16, "0"), "component_id": F.col("_component")})
+    return out.drop("_fp", "_row", "root", "_component")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance: int = DISTANCE, similar: float | None = None) -> DataFrame:
-    """The row of the smallest key of each component; of repeated rows one. Components whose keys are all null are told apart
-    by fingerprint. Columns stay as they are; names beginning with ``_`` are reserved.
+    """The row of the smallest key of each component; of repeated rows one; of a component whose keys are all null one.
+    Columns stay as they are; names beginning with ``_`` are reserved. An empty table stays empty.
 
     ``similar``: documents whose sets of five-word shingles have this share of their union in common, by count, are linked too.
     Fingerprints of shingles seldom come as near for them.
@@ -500,9 +578,8 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", distance
     marked = materialise(with_fingerprints(rows, text, True, similar is not None), "fingerprints", texts=True)  # here row numbers become fixed
     labels = labelled(marked, key, distance, similar, text)
     small = marked.select("_row", "_fp", F.col(key).alias("_key")).join(labels, "_fp")
-    small = small.withColumn("_alone", F.when(F.col("component_id").isNull(), F.col("_fp")))
     first = F.min(F.struct(F.col("_key").isNull().alias("none"), "_key", "_row"))
-    kept = small.groupBy("component_id", "_alone").agg(first.alias("first")).select("first._row")
+    kept = small.groupBy("root").agg(first.alias("first")).select("first._row")
     return marked.join(kept, "_row", "left_semi").drop("_row", "_fp", "_set", "_bands", "_sketch")
 
 

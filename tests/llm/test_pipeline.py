@@ -12,14 +12,10 @@ pipeline = pytest.importorskip("corpus_pipeline")
 
 def near_duplicates(docs):
     """The first document of each component of both kinds of links, pair by pair."""
-    from test_simhash import brute_print
+    from test_simhash import brute_print, shingles
 
-    from pipewright.llm import simhash
-
-    split = [(d[1] or "").encode().translate(simhash.LOWERED).split() for d in docs]
     prints = np.array([brute_print(d[1]) for d in docs], np.uint64)
-    of_words = np.array([simhash.word_fingerprint(w) for w in split], np.uint64)
-    sketches = np.array([np.frombuffer(simhash.sketch(w), np.uint8) for w in split])
+    sets = [shingles(d[1]) for d in docs]
     parent = list(range(len(docs)))
 
     def root(x):
@@ -28,9 +24,9 @@ def near_duplicates(docs):
         return x
 
     for i in range(len(docs)):
-        same = (sketches[i] == sketches[i + 1 :]).sum(1) >= 128 * (0.8 + 0.2 / 256)
-        near = np.bitwise_count(of_words[i] ^ of_words[i + 1 :]) <= 8
-        for j in np.flatnonzero((np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= 4) | near & same) + i + 1:
+        near = np.bitwise_count(prints[i] ^ prints[i + 1 :]) <= 4
+        alike = [len(sets[i] & x) >= 0.8 * len(sets[i] | x) for x in sets[i + 1 :]]
+        for j in np.flatnonzero(near | np.array(alike, bool)) + i + 1:
             a, b = root(i), root(int(j))
             parent[max(a, b)] = min(a, b)
     return [d for i, d in enumerate(docs) if root(i) == i]

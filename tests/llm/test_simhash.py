@@ -97,6 +97,21 @@ def test_odd_and_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_rows_without_a_key_link_others_and_a_key_links_nothing(spark):
+    far = (1 << 40) - 1
+    rows = [(0, 1, 0), (0b1111, None, 1), (0b11111111, 2, 2), (far << 20, 5, 3), (far << 20 | 3 << 10, 3, 4), (0x7A5A5A5A5A5A5A5A, 5, 5), (-1, None, 6), (-2, None, 7)]
+    marked = spark.createDataFrame(rows, "_fp long, doc_id long, _row long")
+    got = {r["_fp"]: (r["root"], r["component_id"]) for r in simhash.labelled(marked, "doc_id", 4).collect()}
+    assert {k: v for k, (_, v) in got.items()} == {0: 1, 0b1111: 1, 0b11111111: 1, far << 20: 3, far << 20 | 3 << 10: 3, 0x7A5A5A5A5A5A5A5A: 5, -1: None, -2: None}
+    assert got[-1] == got[-2] and len({v for v, _ in got.values()}) == 4
+
+
+def test_key_and_text_named_like_outputs(spark):
+    docs = spark.createDataFrame([(3, "one"), (2, "One"), (1, "two words")], "fingerprint long, component_id string")
+    got = simhash.near_duplicates(docs, key="fingerprint", text="component_id").collect()
+    assert sorted((r["component_id"], r["fingerprint"]) for r in got) == sorted([(2, f"{brute_print('one'):016x}")] * 2 + [(1, f"{brute_print('two words'):016x}")])
+
+
 def test_one_of_each(spark):
     rows = [*ODD, (30, "One"), (31, "one")]
     kept = simhash.one_of_each(frame(spark, rows))
@@ -187,10 +202,12 @@ def test_copies_with_an_added_or_cut_passage(spark):
     assert {r["doc_id"] for r in simhash.one_of_each(frame(spark, rows), similar=0.8).collect()} == {i for i, _ in rows if i % 2 == 0}
 
 
-@pytest.mark.parametrize("few, rows", [(64, 1 << 16), (2, 50)])
-def test_large_group_of_near_copies(spark, monkeypatch, few, rows):
+@pytest.mark.parametrize("few, rows, block", [(64, 1 << 16, 1 << 14), (2, 50, 1 << 14), (2, 50, 25)])
+def test_large_group_of_near_copies(spark, monkeypatch, few, rows, block):
     monkeypatch.setattr(simhash, "FEW", few)
+    monkeypatch.setattr(simhash, "NEIGHBOURS", 1)
     monkeypatch.setattr(simhash, "ROWS", rows)
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", block)
     monkeypatch.setattr(simhash, "PAIRS", 100)
     rng = random.Random(10)
     base = [f"w{rng.randrange(5000)}" for _ in range(150)]
