@@ -10,11 +10,13 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from .api import configured
-from .errors import QueryError
+from .errors import QueryError, WriteError
 from .lang.parser import parse
 from .plans.planner import plan_query
+from .sinks.distributed import reachable, write_distributed
 from .sinks.files import write_files
 from .sinks.writers import WRITERS
+from .sources.files import remote
 
 VERSION = "0.1.0"
 GUIDE = """\
@@ -39,11 +41,18 @@ def session() -> SparkSession:
 
 
 def execute(spark: SparkSession, text: str, out, stdin=None, base: str | None = None) -> None:
-    """Run a query and write its result to ``out``, or to the files that it names."""
+    """Run a query and write its result to ``out``, or to the files that it names. Executors write files that they can reach;
+    tables, and files on the driver's own disk, are written row by row here."""
     query = parse(text)
     plan = plan_query(configured(spark), query, stdin, base)
+    path = query.output.path
+    if path is not None and query.output.format != "table" and reachable(spark, path):
+        write_distributed(plan.state(ordered=True), plan.schema, query.output, base)
+        return
+    if path is not None and remote(path):
+        raise WriteError("a table can only be written to a local path")
     rows = plan.dataframe(ordered=True).toLocalIterator()
-    if query.output.path is not None:
+    if path is not None:
         write_files(rows, plan.schema, query.output, base)
     else:
         WRITERS[query.output.format](rows, plan.schema, out)

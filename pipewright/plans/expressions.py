@@ -240,7 +240,7 @@ def bind_call(e: ast.Call, again, reduction: Reduction | None) -> Bound:
 def bind_aggregate(e: ast.Call, reduction: Reduction) -> Bound:
     if e.name == "count":
         if e.args:
-            raise PlanError("count() takes no arguments")
+            raise PlanError("count() is given arguments, but counts rows")
         slot = reduction.slot("count", None, None)
         return Bound(aggregates.check("count", None), lambda r: r(slot), frozenset([slot]))
     if len(e.args) != 1:

@@ -1,16 +1,19 @@
-"""The language's queries over the driver's tables, each with the SQL that says the same.
+"""The language's queries over the driver's tables, each with the SQL that says the same; some write files first and read those.
 
 ``{d}`` stands for the tables' folder. Floating sums are rounded on both sides, for their last bits depend on the order.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .api import run
+from .cli import execute
+from .sources.options import scratch_file
 
 I = "CAST({} AS BIGINT) AS {}"  # noqa: E741
 
@@ -75,16 +78,18 @@ PIPELINES: dict[str, tuple[str, str, tuple[str, ...]]] = {
         "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, 2024::BIGINT AS y, 3::BIGINT AS m, CASE WHEN n_regionkey > 2 THEN 7 ELSE 9 END::BIGINT AS a FROM nation", ()),
     # order
     "sort_head": ("{d}/orders.parquet | sort -o_totalprice, o_orderkey | head 25 | select o_orderkey, o_totalprice", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25", ()),
-    "sort_nulls_last": ("{d}/events.parquet | transform v = if(value > 99, value, null) | sort -v, event_id | head 150 | select event_id, v",
-        "SELECT event_id, v FROM (SELECT event_id, CASE WHEN value > 99 THEN value END AS v FROM events) ORDER BY v DESC NULLS LAST, event_id LIMIT 150", ()),
+    "sort_nulls_last": ("{d}/events.parquet | transform v = if(value > 99, value, null) | sort -v, event_id | group event_type | reduce a = first(event_id), b = last(event_id), v = last(v) | remove grouped",
+        "SELECT event_type, FIRST(event_id ORDER BY v DESC NULLS LAST, event_id) AS a, LAST(event_id ORDER BY v DESC NULLS LAST, event_id) AS b, LAST(v ORDER BY v DESC NULLS LAST, event_id) AS v "
+        "FROM (SELECT event_id, event_type, CASE WHEN value > 99 THEN value END AS v FROM events) GROUP BY 1", ()),
     "head_source": ("{d}/customer.parquet | head 15", f"SELECT {CUSTOMER} FROM customer ORDER BY c_custkey LIMIT 15", ()),
     "tail_sorted": ("{d}/part.parquet | sort p_retailprice, p_partkey | tail 12 | select p_partkey, p_retailprice", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey DESC LIMIT 12", ()),
     "head_after_transform": ("{d}/orders.parquet | sort o_orderkey | transform y = year(o_orderdate) | select o_orderkey, y | head 7", "SELECT o_orderkey, YEAR(o_orderdate) AS y FROM orders ORDER BY o_orderkey LIMIT 7", ()),
     # distinct, count, describe
     "distinct_rows": ("{d}/lineitem.parquet | select l_returnflag, l_linestatus, l_linenumber | distinct", f"SELECT DISTINCT l_returnflag, l_linestatus, {ints('l_linenumber')} FROM lineitem", ()),
     "distinct_columns": ("{d}/events.parquet | distinct event_type, user_id", "SELECT DISTINCT event_type, user_id FROM events", ()),
-    "distinct_first": ("{d}/customer.parquet | sort -c_acctbal, c_custkey | distinct c_mktsegment | head 3",
-        "SELECT c_mktsegment FROM (SELECT c_mktsegment, MIN(rn) AS rn FROM (SELECT c_mktsegment, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) GROUP BY 1) ORDER BY rn LIMIT 3", ()),
+    "distinct_first": ("{d}/customer.parquet | sort -c_acctbal, c_custkey | distinct c_mktsegment, c_nationkey | group c_nationkey | reduce a = first(c_mktsegment), b = last(c_mktsegment) | remove grouped",
+        "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, FIRST(c_mktsegment ORDER BY rn) AS a, LAST(c_mktsegment ORDER BY rn) AS b FROM (SELECT c_nationkey, c_mktsegment, MIN(rn) AS rn "
+        "FROM (SELECT c_nationkey, c_mktsegment, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rn FROM customer) GROUP BY 1, 2) GROUP BY 1", ()),
     "count_rows": ("{d}/lineitem.parquet | filter {{ l_returnflag == \"R\" }} | count", "SELECT COUNT(*) AS count FROM lineitem WHERE l_returnflag = 'R'", ()),
     "describe_columns": ("{d}/region.parquet | describe", "SELECT * FROM (VALUES ('r_regionkey', 'int', 5::BIGINT, 'int?'), ('r_name', 'string', 5::BIGINT, 'string?')) t(\"column\", \"type\", row_count, \"schema\")", ()),
     # group and reduce
@@ -157,5 +162,81 @@ def query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return call
 
 
-QUERIES = {name: query(name) for name in PIPELINES}
-ORACLES = {name: sql for name, (_, sql, _) in PIPELINES.items()}
+#: name: (what writes files in the folder {o}, pipeline over them, SQL). ``pack A B kind`` compresses a file.
+FILES: dict[str, tuple[list[str], str, str]] = {
+    "csv_round_trip": (["{d}/customer.parquet | csv to {o}/c.csv"], "{o}/c.csv", f"SELECT {CUSTOMER} FROM customer"),
+    "csv_nulls_and_quotes": (["{d}/events.parquet | transform v = if(value > 50, value, null), t = event_type + \", \\\"q\\\"\\nnext\" | select event_id, v, t | csv to {o}/e.csv"], "{o}/e.csv",
+        "SELECT event_id, CASE WHEN value > 50 THEN value END AS v, event_type || ', \"q\"' || CHR(10) || 'next' AS t FROM events"),
+    "csv_all_rows_inferred": (["{d}/lineitem.parquet | select l_orderkey, l_quantity, l_returnflag | csv to {o}/l.csv"], "{o}/l.csv with infer_rows=-1 | group l_returnflag | reduce n = count(), q = sum(l_quantity), k = max(l_orderkey) | remove grouped",
+        "SELECT l_returnflag, COUNT(*) AS n, SUM(l_quantity) AS q, MAX(l_orderkey) AS k FROM lineitem GROUP BY 1"),
+    "csv_text_only": (["{d}/nation.parquet | csv to {o}/n.csv"], "{o}/n.csv with infer_rows=0", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation"),
+    "csv_no_header": (["{d}/nation.parquet | filter { n_nationkey > 0 } | csv to {o}/n.csv"], "{o}/n.csv with header=false, infer_rows=-1 | filter { col2 != \"n_name\" } | select col1, col3",
+        "SELECT CAST(n_nationkey AS VARCHAR) AS col1, CAST(n_regionkey AS VARCHAR) AS col3 FROM nation WHERE n_nationkey > 0"),
+    "csv_delimiter": (["{d}/nation.parquet | select n_name, n_nationkey | csv to {o}/n.csv"], "{o}/n.csv with delim=\";\" | rename `n_name,n_nationkey` = both", "SELECT n_name || ',' || n_nationkey AS both FROM nation"),
+    "csv_describe": (["{d}/part.parquet | csv to {o}/p.csv"], "{o}/p.csv with infer_rows=-1 | describe | select column, type, row_count",
+        "SELECT UNNEST(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS column, UNNEST(['int', 'string', 'string', 'string', 'int', 'float']) AS type, (SELECT COUNT(*) FROM part) AS row_count"),
+    "csv_glob": (["{d}/orders.parquet | csv with split_rows=700 to {o}/o-{n}.csv"], "{o}/o-*.csv | group o_orderstatus | reduce n = count(), k = sum(o_orderkey) | remove grouped",
+        "SELECT o_orderstatus, COUNT(*) AS n, CAST(SUM(o_orderkey) AS BIGINT) AS k FROM orders GROUP BY 1"),
+    "csv_glob_columns": (["{d}/nation.parquet | csv to {o}/a.csv", "{d}/nation.parquet | transform more = n_regionkey + 1 | select more, n_name, n_regionkey, n_nationkey | csv to {o}/b.csv"], "{o}/*.csv",
+        f"SELECT {NATION}, CAST(NULL AS BIGINT) AS more FROM nation UNION ALL SELECT {NATION}, CAST(n_regionkey AS BIGINT) + 1 FROM nation"),
+    "csv_bad_records": (["{d}/nation.parquet | csv to {o}/a.csv", "{d}/region.parquet | transform n_nationkey = \"none\", n_name = r_name, n_regionkey = r_regionkey | select n_nationkey, n_name, n_regionkey | csv to {o}/b.csv"],
+        "{o}/*.csv with max_bad_records=5, infer_rows=20", f"SELECT {NATION} FROM nation"),
+    "csv_gzip": (["{d}/supplier.parquet | csv to {o}/s.csv", "pack {o}/s.csv {o}/s.csv.gz gzip"], "{o}/s.csv.gz | select s_suppkey, s_name", "SELECT s_suppkey, s_name FROM supplier"),
+    "jsonl_zstd": (["{d}/supplier.parquet | jsonl to {o}/s.jsonl", "pack {o}/s.jsonl {o}/s.jsonl.zst zstd"], "{o}/s.jsonl.zst | select s_suppkey, s_name", "SELECT s_suppkey, s_name FROM supplier"),
+    "csv_zlib": (["{d}/nation.parquet | csv to {o}/n.csv", "pack {o}/n.csv {o}/n.csv.zlib zlib"], "{o}/n.csv.zlib", f"SELECT {NATION} FROM nation"),
+    "json_zlib_option": (["{d}/nation.parquet | json to {o}/n.json", "pack {o}/n.json {o}/n.data zlib"], "{o}/n.data with format=json, compression=deflate", f"SELECT {NATION} FROM nation"),
+    "csv_standard_input": (["{d}/nation.parquet | csv to {o}/stdin"], "- with format=csv | filter { n_regionkey > 1 }", f"SELECT {NATION} FROM nation WHERE n_regionkey > 1"),
+    "json_array": (["{d}/customer.parquet | json to {o}/c.json"], "{o}/c.json", f"SELECT {CUSTOMER} FROM customer"),
+    "json_glob": (["{d}/orders.parquet | select o_orderkey, o_totalprice | json with split_rows=900 to {o}/"], "{o}/*.json with infer_rows=-1 | filter { o_totalprice > 100000 }", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > 100000"),
+    "jsonl_round_trip": (["{d}/part.parquet | jsonl to {o}/p.jsonl"], "{o}/p.jsonl | filter { p_size > 20 }", f"SELECT {PART} FROM part WHERE p_size > 20"),
+    "jsonl_nested": (["{d}/nation.parquet | group n_regionkey as members | jsonl to {o}/n.jsonl"], "{o}/n.jsonl | reduce members n = count(), k = sum(n_nationkey), a = min(n_name) | remove members",
+        "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, COUNT(*) AS n, CAST(SUM(n_nationkey) AS BIGINT) AS k, MIN(n_name) AS a FROM nation GROUP BY 1"),
+    "jsonl_path": (["{d}/supplier.parquet | transform at = struct(nation = s_nationkey, name = s_name) | select s_suppkey, at | jsonl to {o}/s.jsonl"], "{o}/s.jsonl | select s_suppkey, at.name, at.nation",
+        "SELECT s_suppkey, s_name AS at_name, CAST(s_nationkey AS BIGINT) AS at_nation FROM supplier"),
+    "jsonl_nulls": (["{d}/events.parquet | transform v = if(value > 50, value, null) | select event_id, v | jsonl to {o}/e.jsonl"], "{o}/e.jsonl | filter { v is null } | count", "SELECT COUNT(*) AS count FROM events WHERE value <= 50 OR value IS NULL"),
+    "avro_round_trip": (["{d}/customer.parquet | avro to {o}/c.avro"], "{o}/c.avro", f"SELECT {CUSTOMER} FROM customer"),
+    "avro_nested": (["{d}/nation.parquet | group n_regionkey as members | avro to {o}/n.avro"], "{o}/n.avro | transform n = list_len(members) | select n_regionkey, n", "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, COUNT(*) AS n FROM nation GROUP BY 1"),
+    "avro_glob": (["{d}/orders.parquet | select o_orderkey, o_custkey | avro with split_rows=600 to {o}/"], "{o}/*.avro | group o_custkey | reduce n = count(), k = max(o_orderkey) | remove grouped", "SELECT o_custkey, COUNT(*) AS n, MAX(o_orderkey) AS k FROM orders GROUP BY 1"),
+    "parquet_round_trip": (["{d}/lineitem.parquet | select l_orderkey, l_linenumber, l_extendedprice | sort -l_extendedprice, l_orderkey | parquet to {o}/l.parquet"], "{o}/l.parquet | head 20",
+        f"SELECT l_orderkey, {ints('l_linenumber')}, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey LIMIT 20"),
+    "parquet_parts": (["{d}/orders.parquet | sort -o_orderkey | parquet with split_rows=1000 to {o}/"], "{o}/output-1.parquet | select o_orderkey, o_orderstatus", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey DESC LIMIT 1000"),
+    "parquet_glob": (["{d}/nation.parquet | parquet to {o}/a.parquet", "{d}/nation.parquet | transform n_regionkey = \"r\" + n_name | parquet to {o}/b.parquet"], "{o}/*.parquet | select n_nationkey, n_regionkey",
+        "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, CAST(n_regionkey AS VARCHAR) AS n_regionkey FROM nation UNION ALL SELECT n_nationkey, 'r' || n_name FROM nation"),
+    "parquet_overwrite": (["{d}/nation.parquet | parquet to {o}/n.parquet", "{d}/region.parquet | parquet with overwrite=true to {o}/n.parquet"], "{o}/n.parquet", f"SELECT {ints('r_regionkey')}, r_name FROM region"),
+    "join_csv_with_jsonl": (["{d}/supplier.parquet | csv to {o}/s.csv", "{d}/nation.parquet | jsonl to {o}/n.jsonl"], "{o}/s.csv | join {o}/n.jsonl on s_nationkey == n_nationkey | select s_suppkey, n_name",
+        "SELECT s_suppkey, n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey"),
+}
+
+
+def pack(source: str, target: str, kind: str) -> None:
+    import gzip
+    import zlib
+
+    import zstandard
+
+    with open(source, "rb") as file, open(target, "wb") as out:
+        out.write({"gzip": gzip.compress, "zlib": zlib.compress, "zstd": zstandard.ZstdCompressor().compress}[kind](file.read()))
+
+
+def file_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    """Write files with the language, then read them with it."""
+    steps, text, _ = FILES[name]
+
+    def call(spark: SparkSession, sf_dir: str) -> DataFrame:
+        folder = scratch_file(spark, name)
+        os.makedirs(folder)
+        at = lambda x: x.replace("{d}", sf_dir).replace("{o}", folder)
+        for step in steps:
+            if step.startswith("pack "):
+                pack(*at(step).split()[1:])
+            else:
+                step = at(step)
+                execute(spark, step + ".csv" if step.endswith("/stdin") else step, None)
+        stdin = open(f"{folder}/stdin.csv", "rb") if text.startswith("- ") else None
+        return run(spark, at(text), stdin=stdin)
+
+    return call
+
+
+QUERIES = {name: query(name) for name in PIPELINES} | {name: file_query(name) for name in FILES}
+ORACLES = {name: sql for name, (_, sql, _) in PIPELINES.items()} | {name: sql for name, (_, _, sql) in FILES.items()}

@@ -1,4 +1,5 @@
-"""Output files: where they go, splitting, and putting all of them in place or none."""
+"""Output files: where they go, splitting, and putting all of them in place or none. Here the driver writes, row by row; see
+``distributed`` for files that executors write."""
 
 from __future__ import annotations
 
@@ -30,9 +31,13 @@ def target(output: Output) -> str:
     return path
 
 
+def parts_pattern(path: str) -> re.Pattern:
+    return re.compile("([1-9][0-9]*)".join(map(re.escape, path.split("{n}"))) + r"\Z")
+
+
 def existing_parts(path: str) -> list[str]:
     """Files of an earlier run: the path with one number in place of each ``{n}``."""
-    fits = re.compile("([1-9][0-9]*)".join(map(re.escape, path.split("{n}"))) + r"\Z")
+    fits = parts_pattern(path)
     found = glob.glob("*".join(map(glob.escape, path.split("{n}"))))
     return [f for f in found if (m := fits.match(f)) and len(set(m.groups())) == 1]
 
@@ -54,9 +59,10 @@ def write_files(rows: Iterable, schema: Schema, output: Output, base: str | None
         for n in itertools.count(1):
             part = rows
             if output.split_rows:
-                part = list(itertools.islice(rows, output.split_rows))
-                if not part and n > 1:
+                first = list(itertools.islice(rows, 1))
+                if not first and n > 1:
                     break
+                part = itertools.chain(first, itertools.islice(rows, output.split_rows - 1))
             temporary = os.path.join(stage, f"part-{n}")
             with open(temporary, "wb") as out:
                 WRITERS[output.format](part, schema, out)

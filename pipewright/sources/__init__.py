@@ -21,6 +21,10 @@ class Prepared:
     def load(self, needed: set[str] | None, ordered: bool) -> State:
         raise NotImplementedError
 
+    def first(self, n: int) -> Prepared:
+        """A source that has the first ``n`` rows, and as few others as can be told without reading."""
+        return self
+
 
 class FrameSource(Prepared):
     """A DataFrame at hand. Its row order is that of its partitions."""

@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import gzip
 import os
+import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import zstandard
+from pyarrow import fs
+from pyspark.errors import PythonException
 from pyspark.sql import SparkSession
 
 from ..errors import LoadError, ParseError
@@ -63,58 +67,125 @@ def key(o: Options) -> tuple:
     return o.format, o.compression
 
 
-def opened(path: str, compression: str):
-    if compression == "gzip":
-        return gzip.open(path, "rb")
-    if compression == "zstd":
-        return zstandard.ZstdDecompressor().stream_reader(open(path, "rb"), read_across_frames=True)
+def opened(path: str):
+    if "://" in path:
+        system, name = fs.FileSystem.from_uri(path)
+        return system.open_input_stream(name, compression=None)
     return open(path, "rb")
 
 
-def inflate(chunks, out) -> None:
-    tool = zlib.decompressobj()
-    for chunk in chunks:
-        out.write(tool.decompress(chunk))
-    out.write(tool.flush())
+def inflated(file, compression: str) -> Iterator[bytes]:
+    if compression == "zstd":
+        reader = zstandard.ZstdDecompressor().stream_reader(file, read_across_frames=True)
+    elif compression == "gzip":
+        reader = gzip.GzipFile(fileobj=file)
+    elif compression == "deflate":
+        tool = zlib.decompressobj()
+        while chunk := file.read(1 << 20):
+            while chunk:  # so much at a time, whatever it unfolds to
+                yield tool.decompress(chunk, 1 << 20)
+                chunk = tool.unconsumed_tail
+        yield tool.flush()
+        if not tool.eof:
+            raise EOFError("compressed data ends too soon")
+        return
+    else:
+        reader = file
+    while chunk := reader.read(1 << 20):
+        yield chunk
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, which may be in a store; a temporary one only where all run on one machine."""
+    import tempfile
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if shared:
+        return shared.removeprefix("file://").removeprefix("file:").rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise LoadError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "pipewright")
 
 
 def scratch_file(spark: SparkSession, name: str) -> str:
-    """A path in the folder that driver and executors share."""
-    import tempfile
+    """A new path in the shared folder."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    folder = shared.removeprefix("file://").removeprefix("file:") if shared and (shared.startswith("/") or shared.startswith("file:")) else None
-    folder = folder or os.path.join(tempfile.gettempdir(), "pipewright")
-    os.makedirs(folder, exist_ok=True)
-    return os.path.join(folder, f"{uuid.uuid4().hex}-{name}")
+    folder = shared_folder(spark)
+    if "://" not in folder:
+        os.makedirs(folder, exist_ok=True)
+    return f"{folder}/{uuid.uuid4().hex}-{name}"
 
 
-def unpacked(spark: SparkSession, path: str, o: Options) -> str:
-    """A decompressed copy; for what Spark's codecs don't read."""
-    target = scratch_file(spark, "input")
-    try:
+def written(target: str, chunks: Iterator[bytes]) -> None:
+    if "://" in target:
+        system, name = fs.FileSystem.from_uri(target)
+        with system.open_output_stream(name) as out:
+            for chunk in chunks:
+                out.write(chunk)
+    else:
         with open(target, "wb") as out:
-            if o.compression == "deflate":
-                with open(path, "rb") as file:
-                    inflate(iter(lambda: file.read(1 << 20), b""), out)
-            else:
-                with opened(path, o.compression) as file:
-                    while chunk := file.read(1 << 20):
-                        out.write(chunk)
+            out.writelines(chunks)
+
+
+def unpack(path: str, target: str, compression: str) -> None:
+    try:
+        with opened(path) as file:
+            written(target, inflated(file, compression))
     except (OSError, EOFError, zlib.error, zstandard.ZstdError) as e:
         raise LoadError(f"{path}: {e}") from None
-    return target
 
 
 def readable(spark: SparkSession, paths: list[str], o: Options) -> list[str]:
-    return paths if o.native else [unpacked(spark, p, o) for p in paths]
+    """Paths that Spark reads; for what its codecs don't, decompressed copies in the shared folder, each made by a task of its own."""
+    if o.native:
+        return paths
+    targets = [scratch_file(spark, "input") for _ in paths]
+    if spark.sparkContext.master.startswith("local") or all("://" in p for p in paths):
+        jobs = list(zip(paths, targets, strict=True))
+
+        def run(batches):
+            for batch in batches:
+                for i in batch.column(0).to_pylist():
+                    unpack(*jobs[i], o.compression)
+                yield batch
+
+        try:
+            spark.range(0, len(jobs), 1, len(jobs)).mapInArrow(run, "id long").write.format("noop").mode("overwrite").save()
+        except PythonException as e:
+            found = re.search(r"LoadError: (.*)", str(e))
+            raise (LoadError(found[1]) if found else e) from None
+    else:  # on the driver's own disk
+        for path, target in zip(paths, targets, strict=True):
+            unpack(path, target, o.compression)
+    return targets
 
 
 def spooled(spark: SparkSession, stdin, o: Options) -> str:
     """Standard input, kept in a file, since it can be read but once."""
     target = scratch_file(spark, "stdin")
-    with open(target, "wb") as out:
-        while chunk := stdin.read(1 << 20):
-            out.write(chunk if isinstance(chunk, bytes) else chunk.encode())
-    return unpacked(spark, target, o) if o.compression != "none" else target
+    as_bytes = (c if isinstance(c, bytes) else c.encode() for c in iter(lambda: stdin.read(1 << 20) or None, None))
+    chunks = as_bytes
+    if o.compression != "none":
+        chunks = inflated(Chunks(as_bytes), o.compression)
+    try:
+        written(target, chunks)
+    except (OSError, EOFError, zlib.error, zstandard.ZstdError) as e:
+        raise LoadError(f"standard input: {e}") from None
+    return target
+
+
+class Chunks:
+    """Chunks as a file to read."""
+
+    def __init__(self, chunks: Iterator[bytes]):
+        self.chunks, self.held = chunks, b""
+
+    def read(self, n: int = -1) -> bytes:
+        while n < 0 or len(self.held) < n:
+            chunk = next(self.chunks, b"")
+            if not chunk:
+                break
+            self.held += chunk
+        out, self.held = (self.held, b"") if n < 0 else (self.held[:n], self.held[n:])
+        return out

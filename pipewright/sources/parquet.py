@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from copy import copy
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,26 +31,42 @@ def conform(c: Column, have: T.DataType, want: LType) -> Column:
     return c if have == target else c.cast(target)
 
 
+def footer(spark: SparkSession, path: str):
+    p, _ = hadoop(spark, path)
+    jvm = spark.sparkContext._jvm
+    source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(p, spark.sparkContext._jsc.hadoopConfiguration())
+    reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
+    try:
+        return reader.getFooter()
+    finally:
+        reader.close()
+
+
+def row_count(spark: SparkSession, path: str) -> int:
+    return sum(b.getRowCount() for b in footer(spark, path).getBlocks())
+
+
+def data_files(spark: SparkSession, folder: str) -> list[str] | None:
+    """A data directory's files in order of their names; None if it has directories in it."""
+    p, system = hadoop(spark, folder)
+    found = [x for x in system.listStatus(p) if not x.getPath().getName().startswith(("_", "."))]
+    return None if any(x.isDirectory() for x in found) else sorted(str(x.getPath()) for x in found)
+
+
 def required(spark: SparkSession, path: str) -> set[str]:
     """Top-level columns that the file declares as never null; Spark's reader forgets that."""
     try:
-        jvm = spark.sparkContext._jvm
-        p, system = hadoop(spark, path)
         if is_directory(spark, path):
             return set()
-        config = spark.sparkContext._jsc.hadoopConfiguration()
-        source = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(p, config)
-        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(source)
-        try:
-            fields = reader.getFooter().getFileMetaData().getSchema().getFields()
-            return {f.getName() for f in fields if f.getRepetition().name() == "REQUIRED"}
-        finally:
-            reader.close()
+        return {f.getName() for f in footer(spark, path).getFileMetaData().getSchema().getFields() if f.getRepetition().name() == "REQUIRED"}
     except Exception:  # metadata only refines nullability
         return set()
 
 
 class ParquetSource(Prepared):
+    #: Rows that are asked for, if only the first ones are.
+    bound: int | None = None
+
     def __init__(self, spark: SparkSession, paths: list[str], options):
         self.spark, self.paths = spark, paths
         self.frames = []
@@ -68,6 +86,25 @@ class ParquetSource(Prepared):
         if twice := next((n for n in names if names.count(n) > 1), None):
             raise LoadError(f"column {twice!r} is there twice")
 
+    def first(self, n: int) -> ParquetSource:
+        """A source of the first files that hold ``n`` rows, by their footers, and of those rows only where one file is enough."""
+        out = copy(self)
+        out.bound = n
+        if len(self.paths) == 1 and is_directory(self.spark, self.paths[0]):
+            files = data_files(self.spark, self.paths[0])
+        else:
+            files = self.paths
+        if not files or len(files) == 1 and files == self.paths:
+            return out
+        taken, rows = 0, 0
+        while taken < len(files) and rows < n:
+            rows += 0 if is_directory(self.spark, files[taken]) else row_count(self.spark, files[taken])
+            taken += 1
+        out.paths = files[: max(1, taken)]
+        same = self.frames[0].schema
+        out.frames = self.frames[: len(out.paths)] if files is self.paths else [self.spark.read.schema(same).parquet(p) for p in out.paths]
+        return out
+
     def load(self, needed, ordered) -> State:
         kept = [(n, t) for n, t in self.schema if needed is None or n in needed]
         alike = all(f.schema == self.frames[0].schema for f in self.frames)
@@ -80,6 +117,7 @@ class ParquetSource(Prepared):
             columns = [(conform(quoted(n), have[n], t) if n in have else null_of(t)).alias(n) for n, t in kept]
             if ordered and single:
                 columns.append(F.col("_metadata.row_index").alias(ORDER))
+                frame = frame if self.bound is None else frame.where(F.col("_metadata.row_index") < self.bound)
             elif ordered:
                 columns += [F.lit(number).alias("__file"), F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row")]
             one = frame.select(*columns)

@@ -145,3 +145,31 @@ def test_main(spark, tmp_path, monkeypatch, capfdbinary):
     assert cli.main(["--", "a.csv | nope"]) == 1
     out, err = capfdbinary.readouterr()
     assert out.endswith(b"x\n2\n") and b"error: unknown operation 'nope'" in err
+
+
+@pytest.mark.parametrize("form", ["csv", "json", "jsonl", "avro", "parquet"])
+def test_executors_write_parts_in_order(spark, data, tmp_path, form):
+    from pipewright.api import run
+
+    for place in (str(tmp_path), tmp_path.as_uri()):  # by path, and as to a store
+        text = f"{data}/orders.parquet | select o_orderkey, o_orderstatus, o_totalprice | sort -o_totalprice, o_orderkey | {form} with split_rows=300, overwrite=true to {place}/"
+        cli.execute(spark, text, None)
+        cli.execute(spark, text, None)
+        count = -(-spark.read.parquet(f"{data}/orders.parquet").count() // 300)
+        assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"output-{i + 1}.{form}" for i in range(count))
+        want = [r[0] for r in run(spark, f"{data}/orders.parquet | sort -o_totalprice, o_orderkey | select o_orderkey", ordered=True).collect()]
+        got = [r[0] for i in range(count) for r in run(spark, f"{place}/output-{i + 1}.{form} | select o_orderkey", ordered=True).collect()]
+        assert got == want
+        with pytest.raises(WriteError, match="exists"):
+            cli.execute(spark, f"{data}/nation.parquet | {form} to {place}/output-1.{form}", None)
+        cli.execute(spark, f"{data}/nation.parquet | head 0 | {form} with split_rows=3 to {place}/empty-{{n}}", None)
+        assert (tmp_path / f"empty-1.{form}").exists()
+        (tmp_path / f"empty-1.{form}").unlink()
+
+
+def test_the_driver_gets_no_rows(spark, data, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", None)
+    cli.execute(spark, f"{data}/lineitem.parquet | parquet to {tmp_path}/l", None)
+    assert spark.read.parquet(f"{tmp_path}/l.parquet").count() == spark.read.parquet(f"{data}/lineitem.parquet").count()
