@@ -20,34 +20,32 @@ from .common import materialise, table
 
 SYMBOLS = [c.encode() for c in "#*$%&|<>"]
 SPACES = " \t\n\v\f\r"
-#: Frequent function words of the languages covered, in lower case.
-FUNCTION_WORDS = frozenset(
-    w.encode()
-    for w in (
-        "the of and to in that is was for it with as his on be at by have are this not but from or which an "
-        "der die das und ist von den mit zu des ein auf dem nicht sich als auch es für im "
-        "le la les et des est un une du dans que pour qui par sur au pas plus avec ce en "
-        "el los las de que y del se por con una su para es lo como al más"
-    ).split()
-)
 CAPITALS = bytes(range(65, 91))
 LETTERS = CAPITALS + bytes(range(97, 123))
+STARTS = bytes([*range(128), *range(192, 256)])  # the first byte of each character
 ALPHABETIC = LETTERS + bytes(range(128, 256))
-FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_function", "n_bytes", "n_alphabetic", "n_capitals", "n_letters"]
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_short", "n_bytes", "n_alphabetic", "n_capitals", "n_letters"]
 #: Name, vote as SQL over FEATURES: 1 good, 0 bad, null abstains.
 VOTES = {
     "symbols": "case when n_symbols > 0.1 * n_words then 0 when n_symbols <= 0.02 * n_words then 1 end",
     "lines": "case when n_dup_lines > 0.5 * n_lines then 0 when n_lines >= 3 and n_dup_lines <= 0.05 * n_lines then 1 end",
     "repeats": "case when n_repeat_words > 0.4 * n_words then 0 when n_repeat_words <= 0.1 * n_words then 1 end",
-    "function": "case when n_function < 0.01 * n_words then 0 when n_function >= 0.05 * n_words then 1 end",
+    "short": "case when n_short < 0.02 * n_words then 0 when n_short >= 0.08 * n_words then 1 end",
     "length": "case when word_chars < 2.5 * n_words or word_chars > 12 * n_words then 0 when word_chars <= 10 * n_words then 1 end",
     "letters": "case when n_alphabetic < 0.7 * n_bytes then 0 when n_alphabetic >= 0.85 * n_bytes then 1 end",
     "capitals": "case when n_capitals > 0.5 * n_letters then 0 when n_capitals <= 0.2 * n_letters then 1 end",
     "size": "case when n_words < 50 then 0 when n_words >= 100 then 1 end",
 }
+#: The longest word, in characters, that counts as short. Prose of any language with spaces repeats its short words (articles, particles,
+#: conjunctions); lists, codes and random words don't.
+SHORT = 4
 BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
 #: Before any document is seen a rule is right this often, as if it had been seen on so many documents.
 PRIOR_RIGHT, PRIOR_ROWS = 0.8, 20.0
+#: A rule is right more often than this on its own kind of bad documents, or the kind would not be its own.
+LEAST_RIGHT = 0.5
+#: Rules at most: the table of vote combinations, which the driver holds, has up to 3 to this power of rows.
+MAX_RULES = 12
 
 
 def features(text: str | None) -> tuple[int, ...]:
@@ -72,7 +70,7 @@ def features(text: str | None) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeats,
         len(lines),
-        sum(map(FUNCTION_WORDS.__contains__, data.lower().split())),
+        sum(k for w, k in Counter(data.lower().split()).items() if k > 1 and len(w) <= 4 * SHORT and len(w) - len(w.translate(None, STARTS)) <= SHORT),
         sum(map(len, words)),
         len(data) - len(data.translate(None, ALPHABETIC)),
         len(data) - len(data.translate(None, CAPITALS)),
@@ -81,11 +79,10 @@ def features(text: str | None) -> tuple[int, ...]:
 
 
 def with_features(df: DataFrame, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """Add FEATURES to each row, by Arrow batches."""
+    """Add FEATURES to each row, by Arrow batches; columns of these names are replaced, a text column of such a name is read first."""
     from pyspark.sql.types import LongType, StructField, StructType
 
-    df = df.drop(*FEATURES)
-    kept = [f for f in df.schema.fields if keep_text or f.name != text]
+    kept = [f for f in df.schema.fields if f.name not in FEATURES and (keep_text or f.name != text)]
     schema = StructType([*kept, *[StructField(x, LongType()) for x in FEATURES]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +102,9 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, tolerance:
     Bad documents are bad in different ways, and most rules see only one of them; a single bad class would settle on the
     most common way and pass the others. Votes are independent given the class, and abstaining says nothing. ``patterns``: (combinations, rules) of
     0 bad, 1 good, -1 abstain; ``counts``: documents of each. Returns ``posterior`` of good for each combination, the
-    ``share`` of each class (good last) and ``p[class, rule, vote]``: how often rules are right.
-    The prior (see PRIOR_ROWS) keeps classes from changing places and a corpus of one class from falling apart.
+    ``share`` of each class (good last), ``p[class, rule, vote]``, and each rule's ``accuracy`` on its own kind of bad documents.
+    All of them are estimated, under a Beta prior (see PRIOR_ROWS); it and LEAST_RIGHT keep classes from changing places and a
+    corpus of one class from falling apart.
     """
     rules = patterns.shape[1]
     seen = np.stack([patterns == v for v in range(2)], 2).astype(float)  # combination, rule, vote
@@ -130,10 +128,22 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300, tolerance:
         before = total
         got = np.einsum("ck,krv->crv", post * counts, seen) + PRIOR_ROWS * prior
         p = got / got.sum(2, keepdims=True)
-        p[own, own] = prior[own, own]  # a class is tied to its rule
+        right = np.maximum(p[own, own, 0], LEAST_RIGHT)
+        p[own, own] = np.stack([right, 1 - right], 1)
         share = (post * counts).sum(1) + PRIOR_ROWS / (rules + 1)
         share /= share.sum()
-    return {"posterior": post[rules], "share": share, "p": p}
+    return {"posterior": post[rules], "share": share, "p": p, "accuracy": p[own, own, 0]}
+
+
+def learn(patterns: DataFrame, rules: int) -> tuple[list[tuple[str, float]], dict]:
+    """(pattern, posterior) of each combination of votes in ``patterns`` (``_pattern``), and the model. Combinations are counted where
+    the documents are."""
+    if rules > MAX_RULES:
+        raise ValueError(f"{rules} rules; at most {MAX_RULES}")
+    found = patterns.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
+    keys = [r["_pattern"] for r in found]
+    model = fit(np.array([list(map(int, k.split(","))) for k in keys], int).reshape(len(keys), rules), np.array([r["n"] for r in found], float))
+    return list(zip(keys, map(float, model["posterior"]), strict=True)), model
 
 
 def judge(df: DataFrame, text: str = "text", votes: dict[str, str] | None = None, keep_text: bool = True) -> DataFrame:
@@ -142,19 +152,18 @@ def judge(df: DataFrame, text: str = "text", votes: dict[str, str] | None = None
     Kept: the base rules hold and good is at least as likely as not. Null and empty texts have no words and fail.
     ``keep_text=False`` drops the text and writes the features to the shared folder; with texts they are computed once
     to count votes and once to judge, which costs less than a copy of the corpus.
-    An empty table stays empty. Columns of the names above are replaced; names beginning with ``_`` are reserved.
+    An empty table stays empty. A very long text's words are held in memory, some 100 bytes for each. Columns of the names above
+    are replaced; names beginning with ``_`` are reserved.
     """
     votes = votes or VOTES
     spark = df.sparkSession
-    marks = with_features(df.drop("quality", "base_failed", "kept"), text, keep_text)
+    gone = [c for c in ("quality", "base_failed", "kept") if c != text]
+    marks = with_features(df.drop(*gone), text, keep_text)
     if not keep_text:
         marks = materialise(marks, "quality")
     pattern = F.concat_ws(",", *[F.coalesce(F.expr(sql), F.lit(-1)).cast("string") for sql in votes.values()])
     marks = marks.withColumn("_pattern", pattern)
-    found = marks.groupBy("_pattern").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** rules rows
-    keys = [r["_pattern"] for r in found]
-    model = fit(np.array([list(map(int, k.split(","))) for k in keys], int).reshape(len(keys), len(votes)), np.array([r["n"] for r in found], float))
-    posterior = spark.createDataFrame(list(zip(keys, map(float, model["posterior"]), strict=True)), "_pattern string, quality double")
+    posterior = spark.createDataFrame(learn(marks, len(votes))[0], "_pattern string, quality double")
     out = marks.join(F.broadcast(posterior), "_pattern", "left").drop("_pattern")
     failed = F.expr(BASE_FAILED)
     return out.withColumns({"base_failed": failed, "kept": ~failed & (F.col("quality") >= 0.5)})
