@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pipewright.llm import decontaminate, mixing, quality, sharding, simhash
-from pipewright.llm.common import materialise, table
+from pipewright.llm.common import discard, made, materialise, table
 
 #: SimHash components and EM posteriors are beyond SQL; the tests hold ``run`` against a brute-force version.
 ORACLE_SQL: str | None = None
@@ -29,8 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go."""
-    marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), slop=None)
-    return marked.where("n_hit = 0").select(*docs.columns)
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,9 +52,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage returns. What a stage wrote for itself goes once its result is written, and that once the next
+    stage's result is; only what the last stage reads stays until the program ends."""
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before = made()
+        out = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = materialise(docs, "pipeline", texts=True)
+            out = materialise(out, "pipeline", texts=True)
+            own = [p for p in made() if p not in before and p != out.scratch_path]
+            discard(spark, *own, *([docs.scratch_path] if i else []))
+        docs = out
     return docs

@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 from helpers import LOWER, ODD, documents, frame
 
@@ -41,12 +42,33 @@ TEXTS = [
 
 @pytest.mark.parametrize("words, block", [(1 << 20, 16 << 20), (5, 40)])
 def test_small(spark, monkeypatch, words, block):
-    monkeypatch.setattr(decontaminate, "INDEX_WORDS", words)
+    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 6 * words)
     monkeypatch.setattr(decontaminate, "CANDIDATES", 3 if words == 5 else 1 << 21)
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
     docs = frame(spark, [(i, t, "clash", "s") for i, t in enumerate(TEXTS)]).withColumnRenamed("lang", "items")
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.mark(docs, bench).collect()}
+    want = brute(TEXTS, ITEMS)
+    assert [got[i] for i in range(len(TEXTS))] == want
+    left = decontaminate.clean(docs, bench)
+    assert left.columns == docs.columns
+    assert sorted(r["doc_id"] for r in left.collect()) == [i for i, (_, hit, _) in enumerate(want) if not hit]
+
+
+def test_postings():
+    texts = [b"", b"B a  b", b"...", "é1 a".encode(), b" a"]
+    shard, words = decontaminate.postings(texts)
+    assert words.tolist() == [0, 3, 0, 2, 1]
+    gap = decontaminate.GAP
+    got = {t: np.cumsum(p).tolist() for t, p in zip(shard["term"].to_pylist(), shard["positions"].to_pylist(), strict=True)}
+    assert got == {b"b": [gap, gap + 2], b"a": [gap + 1, 3 * gap + 4, 4 * gap + 5], "é1".encode(): [3 * gap + 3]}
+    assert decontaminate.postings([b"", b" "])[0].num_rows == 0
+
+
+def test_text_column_named_like_an_output(spark):
+    docs = frame(spark, list(enumerate(TEXTS))).withColumnRenamed("text", "items")
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontaminate.mark(docs, bench, text="items").collect()}
     assert [got[i] for i in range(len(TEXTS))] == brute(TEXTS, ITEMS)
 
 
