@@ -28,9 +28,10 @@ def rows(df):
     return {(r["id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("most", [urls.MAX_BROADCAST_RULES, 0])
-def test_odd_urls(spark, monkeypatch, most):
-    monkeypatch.setattr(urls, "MAX_BROADCAST_RULES", most)
+@pytest.mark.parametrize("most, hot", [(urls.MAX_BROADCAST_BYTES, urls.HOT), (0, 0), (urls.MAX_BROADCAST_BYTES, 1)])
+def test_odd_urls(spark, monkeypatch, most, hot):
+    monkeypatch.setattr(urls, "MAX_BROADCAST_BYTES", most)
+    monkeypatch.setattr(urls, "HOT", hot)
     pages = spark.createDataFrame([(i, u, "clash") for i, u in enumerate(URLS)], "id long, url string, rule string")
     got = urls.filter_urls(pages, urls.rule_table(spark, urls.RULES))
     assert rows(got) == {(i, *brute(u)) for i, u in enumerate(URLS)}
@@ -44,6 +45,20 @@ def test_other_rules(spark):
     assert rows(got) == {(r["id"], *brute(r["url"], known)) for r in pages.collect()}
 
 
+def test_very_long_hosts(spark):
+    import time
+
+    pages = spark.createDataFrame([(1, "http://" + "a." * 100_000 + "example.net/en/"), (2, "http://" + "b." * 100_000 + "example.org/fr/x")], "id long, url string")
+    start = time.monotonic()
+    got = {r["id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(pages, urls.rule_table(spark, urls.RULES)).collect()}
+    assert got == {1: ("example.net/en/", "allow"), 2: ("org/fr/", "allow")} and time.monotonic() - start < 30
+
+
+def test_url_column_named_like_an_output(spark):
+    pages = spark.createDataFrame([(1, "http://a.net/x")], "id long, host string")
+    assert rows(urls.filter_urls(pages, urls.rule_table(spark, urls.RULES), url="host")) == {(1, "a.net", "/x", "net/", "block")}
+
+
 def test_empty(spark):
     pages = spark.createDataFrame([], "id long, url string")
     assert urls.filter_urls(pages, urls.rule_table(spark, urls.RULES)).collect() == []
