@@ -23,26 +23,39 @@ def n_words(c):
     return F.coalesce(F.regexp_count(c, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
+def places(sources: DataFrame) -> DataFrame:
+    """Add ``_place``, the number of each source in code point order, null last, without bringing them together: they are sorted by
+    range and written, and the sizes of the ranges number them."""
+    spark = sources.sparkSession
+    rows = sources.orderBy(*KEY).select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    rows = materialise(rows, "mix-sources", texts=True)  # as they lie
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
+    before = F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")
+    known = sizes.select("_part", before.alias("_before"))
+    place = F.col("_id") - F.shiftleft(F.col("_part").cast("long"), 33) + F.col("_before")
+    return rows.join(known, "_part").withColumn("_place", place).drop("_part", "_id", "_before")
+
+
 def targets(sizes: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """Targets of the sources in ``sizes`` (one row for each: the key columns and ``_size``).
 
     Sources in code point order, null last, take the weights in turn and share ``share`` times all sizes. No target goes
-    over ``most`` times its source's size; the excess goes to the others by weight. Sorting by size over weight finds
-    the level in one pass: the sources before it are full, the rest get level times weight. Sources without words get 0.
-    The windows see one row for each source.
+    over ``most`` times its source's size; the excess goes to the others by weight: those that a level times their weight would
+    fill are full, the rest get level times weight. Filling some raises the level, which may fill more; each round is one
+    aggregation, and it ends when no source is filled any more. Sources without words get 0.
     """
-    row = F.row_number().over(Window.orderBy(*KEY)) - 1
     turn = F.array(*[F.lit(float(w)) for w in weights])
-    df = sizes.withColumn("_w", F.element_at(turn, (row % len(weights) + 1).cast("int")))
-    everything = Window.partitionBy()
+    df = places(sizes).withColumn("_w", F.element_at(turn, (F.col("_place") % len(weights) + 1).cast("int")))
     full = F.lit(float(most)) * F.col("_size")
-    order = Window.orderBy(full / F.col("_w"), *KEY).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    left = F.lit(float(share)) * F.sum("_size").over(everything) - F.coalesce(F.sum(full).over(order), zero)
-    level = left / (F.sum("_w").over(everything) - F.coalesce(F.sum("_w").over(order), zero))
-    df = df.withColumn("_level", level)
-    df = df.withColumn("_level", F.max(F.when(F.col("_level") * F.col("_w") <= full, F.col("_level"))).over(everything))
-    return df.withColumn("target", F.least(full, F.coalesce(F.col("_level") * F.col("_w"), full))).drop("_level")
+    level = 0.0
+    while True:
+        open_ = F.col("_w") * F.lit(level) < full
+        row = df.agg(F.sum("_size"), F.sum(F.when(~open_, full)), F.sum(F.when(open_, F.col("_w")))).first()
+        left = share * (row[0] or 0) - (row[1] or 0.0)
+        raised = left / row[2] if row[2] and left > 0 else level
+        if raised <= level:
+            return df.withColumn("target", F.when(open_, F.col("_w") * F.lit(level)).otherwise(full)).drop("_w")
+        level = raised
 
 
 def bit_reversed(i, bits: int):
@@ -52,15 +65,18 @@ def bit_reversed(i, bits: int):
 def schedule(sources: DataFrame, block: int) -> DataFrame:
     """The slots: the key columns, ``_k`` (block of the source's stream) and ``slot`` (place in the schedule, with gaps).
 
-    ``sources``: the key columns and ``target``. Each source owns as many grid points as its target has blocks.
+    ``sources``: the key columns, ``_place`` and ``target``. Each source owns as many grid points as its target has blocks.
     """
     spark = sources.sparkSession
-    need = sources.select(*KEY, F.ceil(F.floor("target") / block).cast("long").alias("_q")).where("_q > 0")
+    need = sources.select(*KEY, "_place", F.ceil(F.floor("target") / block).cast("long").alias("_q")).where("_q > 0")
     total = need.agg(F.sum("_q")).first()[0] or 0
     bits = max(1, int(total - 1).bit_length()) if total else 1
-    first = F.sum("_q").over(Window.orderBy(*KEY)) - F.col("_q")
     chunk = 4096
-    chunks = need.withColumn("_first", first).withColumn("_c", F.explode(F.expr(f"sequence(0L, (_q - 1) div {chunk})")))
+    need = need.withColumn("_range", F.expr(f"_place div {chunk}"))  # many sources are added up range by range
+    sums = need.groupBy("_range").agg(F.sum("_q").alias("_sum"))
+    sums = sums.select("_range", (F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum")).alias("_before"))
+    inside = F.sum("_q").over(Window.partitionBy("_range").orderBy("_place")) - F.col("_q")
+    chunks = need.join(sums, "_range").withColumn("_first", F.col("_before") + inside).withColumn("_c", F.explode(F.expr(f"sequence(0L, (_q - 1) div {chunk})")))
     chunks = chunks.repartition(partitions(spark), *KEY, "_c")
     points = chunks.select(
         *KEY, F.explode(F.expr(f"sequence(_first + _c * {chunk}, _first + least(_q, (_c + 1) * {chunk}) - 1)")).alias("_j")
@@ -95,20 +111,22 @@ def mix(
     words = F.col(size) if size else n_words(F.col(text))
     df = source_key(df.withColumn("_words", words), source)
     df = df.drop("size", "source_size", "target", "taken", "first_slot").withColumnRenamed("_words", "size")
-    df = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col("size")), 1))
+    apart = F.when(F.col(key).isNull(), F.monotonically_increasing_id())  # or all of them would have one place in the shuffle
+    df = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col("size"), apart), 1))
     goals = targets(df.groupBy(*KEY).agg(F.sum("size").alias("_size")), weights, share, most)
     slots = schedule(goals, block)
     goals = goals.select(*KEY, F.col("_size").alias("source_size"), "target", F.floor("target").alias("_goal"))
     buckets = 4 * partitions(spark)
     streams = ranked(df, KEY, hash_bucket("_h", buckets), buckets, ["_h", key, "size"], "size").drop("_rows", "_h")
+    streams = materialise(streams, "mix-streams")  # read twice
     narrow = streams.select(*KEY, "_rank", "size", "_start", "_total").join(goals.select(*KEY, "_goal"), KEY)
     passes = narrow.withColumn("_pass", F.explode(F.expr(f"sequence(0, {int(-(-most // 1)) - 1})")))
     passes = passes.withColumns({"_from": F.expr("_start + _pass * _total"), "_to": F.expr("least(_goal, _start + _pass * _total + size)")})
     pieces = passes.where("_from < _to").withColumn("_k", F.explode(F.expr(f"sequence(_from div {block}, (_to - 1) div {block})")))
     taken = F.expr(f"least(_to, (_k + 1) * {block}) - greatest(_from, _k * {block})")
-    pieces = pieces.select(*KEY, "_rank", "_k", taken.alias("_taken")).join(slots, [*KEY, "_k"])
+    pieces = pieces.select(*KEY, "_rank", "_k", taken.alias("_taken")).join(slots.hint("merge"), [*KEY, "_k"])  # both grow with the input
     got = pieces.groupBy(*KEY, "_rank").agg(F.sum("_taken").alias("taken"), F.min("slot").alias("first_slot"))
-    out = streams.drop("_start", "_total").join(got, [*KEY, "_rank"], "left").join(goals.drop("_goal"), KEY)
+    out = streams.drop("_start", "_total").join(got.hint("merge"), [*KEY, "_rank"], "left").join(goals.drop("_goal"), KEY)
     return out.withColumn("taken", F.coalesce("taken", F.lit(0).cast("long"))).drop(*KEY, "_rank")
 
 

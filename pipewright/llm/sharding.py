@@ -24,7 +24,8 @@ def interleave(df: DataFrame, shards: int, seed: int = 7, source: str = "source"
     buckets = 4 * partitions(df.sparkSession)
     df = source_key(df.drop("shard", "slot"), source)
     df = df.withColumn("_crc", F.col(crc) if crc else F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    df = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col("_crc")), 1))
+    apart = F.when(F.col(key).isNull(), F.monotonically_increasing_id())  # or copies without a key would all be in one range
+    df = df.withColumn("_h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col("_crc"), apart), 1))
     one = ranked(df, ["_null", "_src"], hash_bucket("_h", buckets), buckets, ["_h", key, "_crc"])
     offset = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "_null", "_src"), 33) / F.lit(float(2**31))
     one = one.withColumn("_at", (F.col("_rank") + offset) / F.col("_rows")).withColumnRenamed("_rank", "_within").drop("_rows")
