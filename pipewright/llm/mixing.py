@@ -65,9 +65,10 @@ def bit_reversed(i, bits: int):
 def schedule(sources: DataFrame, block: int) -> DataFrame:
     """The slots: the key columns, ``_k`` (block of the source's stream) and ``slot`` (place in the schedule, with gaps).
 
-    ``sources``: the key columns, ``_place`` and ``target``. Each source owns as many grid points as its target has blocks.
+    ``sources``: the key columns, ``target`` and, if at hand, ``_place``. Each source owns as many grid points as its target has blocks.
     """
     spark = sources.sparkSession
+    sources = sources if "_place" in sources.columns else places(sources)
     need = sources.select(*KEY, "_place", F.ceil(F.floor("target") / block).cast("long").alias("_q")).where("_q > 0")
     total = need.agg(F.sum("_q")).first()[0] or 0
     bits = max(1, int(total - 1).bit_length()) if total else 1
