@@ -28,6 +28,8 @@ from .common import materialise, scratch, table
 #: The training sample of each language: texts and bytes at most (one text at least). Of a text of more than TRAIN_BYTES a stretch of
 #: about that many bytes is learned, from a place chosen by hash, so long texts are in the sample like others.
 TRAIN_TEXTS, TRAIN_BYTES, LANGUAGE_BYTES = 400, 32_768, 1 << 20
+#: The most frequent languages whose texts are thinned by a broadcast table; those of others are all sorted to find their sample.
+THINNED = 10_000
 #: Languages that are learned and scored at once, about, and bytes of trees that a scoring task keeps at hand.
 GROUP, HELD_BYTES = 8, 256 << 20
 #: Entries of a dense table of children; a level with more is looked up by binary search.
@@ -48,8 +50,10 @@ def sample(df: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     rows = rows.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(3), "key", F.crc32(F.col("text").cast("binary"))), 1))
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))  # equal rows have one hash, so they are no sample
-    limit = F.least(F.lit(1.0), F.lit(2.0 * TRAIN_TEXTS) / F.col("n")) * float(2**63)
-    some = rows.join(counts, "lang").where(F.col("h") <= limit)
+    # texts stay where they are until they are thinned, so what is broadcast has a bound; languages beyond it have few texts
+    counts = counts.where(F.col("n") > 2 * TRAIN_TEXTS).orderBy(F.desc("n"), "lang").limit(THINNED)
+    limit = F.coalesce(F.lit(2.0 * TRAIN_TEXTS) / F.col("n"), F.lit(1.0)) * float(2**63)
+    some = rows.join(F.broadcast(counts), "lang", "left").where(F.col("h") <= limit)
     long = F.length("text") - TRAIN_BYTES
     stretch = F.substring(F.col("text"), F.when(long > 0, F.pmod("h", long + 1)).otherwise(F.lit(0)).cast("int") + 1, F.lit(TRAIN_BYTES))
     some = some.groupBy("lang", "h").agg(F.min(stretch).alias("text"))

@@ -115,8 +115,10 @@ def test_text_column_named_like_an_output(spark, tmp_path):
     assert [(r["lang_pred"], r["score"] > 0) for r in languages.identify(docs, trees, text="score").collect()] == [("en", True)]
 
 
-def test_sample_is_bounded(spark, monkeypatch):
+@pytest.mark.parametrize("thinned", [10_000, 1])
+def test_sample_is_bounded(spark, monkeypatch, thinned):
     monkeypatch.setattr(languages, "TRAIN_TEXTS", 20)
+    monkeypatch.setattr(languages, "THINNED", thinned)
     rows = [(i, f"text {i}", "en" if i % 10 else "de") for i in range(3000)]
     got = languages.sample(frame(spark, rows), "doc_id", "text", "lang").collect()
     assert {k: sum(r["lang"] == k for r in got) for k in ("en", "de")} == {"en": 20, "de": 20}
