@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 
 from ..errors import LoadError
 from ..functions.values import coerce, null_of
-from ..operators.state import State, quoted
+from ..operators.state import State
 from ..types import LType, list_of, record, spark_type, union_of
 from . import Prepared
+from .files import beginning, beginnings
 from .parquet import merged
 
 MAGIC = b"Obj\x01"
@@ -186,52 +187,62 @@ def rows(data: bytes) -> Iterator[dict]:
 
 
 class AvroSource(Prepared):
+    """All files are read by one scan; files of one schema share columns in it."""
+
     def __init__(self, spark: SparkSession, paths: list[str], options):
         self.spark, self.paths = spark, paths
-        self.own = []
-        for path in paths:
-            size = 1 << 16
+        self.kinds: dict[bytes, list] = {}
+        for path, (data, ended) in zip(paths, beginnings(spark, paths), strict=True):
+            size = len(data)
             while True:  # metadata may be longer than a first look
-                data = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, size)).first()[0])
                 try:
                     meta, _ = header(data)
                     break
                 except LoadError:
-                    if len(data) < size:
+                    if ended or data[:4] != MAGIC:
                         raise
                     size *= 8
+                    data, ended = beginning(spark, path, size)
+            if meta["avro.schema"] in self.kinds:
+                continue
             t = Reader(json.loads(meta["avro.schema"])).type
             if t.kind != "record":
                 raise LoadError(f"{path}: rows are not records")
-            self.own.append(list(t.fields))
-        self.schema = merged(self.own)
+            self.kinds[meta["avro.schema"]] = list(t.fields)
+        self.schema = merged(list(self.kinds.values()))
 
     def load(self, needed, ordered) -> State:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kept = [(n, t) for n, t in self.schema if needed is None or n in needed]
-        out = None
-        for number, (path, own) in enumerate(zip(self.paths, self.own, strict=True)):
-            have = [(n, t) for n, t in own if needed is None or n in needed]
-            schema = T.StructType([*[T.StructField(n, spark_type(t)) for n, t in have], T.StructField("__row", T.LongType())])
-            arrow = to_arrow_schema(schema)
-            names = [n for n, _ in have]
-
-            def run(batches: Iterator[pa.RecordBatch], arrow=arrow, names=names) -> Iterator[pa.RecordBatch]:
-                for batch in batches:
-                    for data in batch.column(0):
-                        held = []
-                        for i, row in enumerate(rows(data.as_py())):
-                            held.append({**{n: row[n] for n in names}, "__row": i})
-                            if len(held) == 8192:
-                                yield pa.RecordBatch.from_pylist(held, schema=arrow)
-                                held = []
-                        if held:
+        own: list[dict] = [{n: (f"k{k}_{i}", t) for i, (n, t) in enumerate(fields) if needed is None or n in needed} for k, fields in enumerate(self.kinds.values())]
+        places = {text: (k, [(n, c) for n, (c, _) in own[k].items()]) for k, text in enumerate(self.kinds)}
+        cells = [T.StructField(c, spark_type(t)) for fields in own for c, t in fields.values()]
+        schema = T.StructType([*cells, T.StructField("__kind", T.IntegerType()), T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType())])
+        arrow = to_arrow_schema(schema)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    data = data.as_py()
+                    kind, names = places[header(data)[0]["avro.schema"]]
+                    held = []
+                    for i, row in enumerate(rows(data)):
+                        held.append({**{c: row[n] for n, c in names}, "__kind": kind, "__file": path, "__row": i})
+                        if len(held) == 8192:
                             yield pa.RecordBatch.from_pylist(held, schema=arrow)
-
-            df = self.spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, schema)
-            mine = dict(have)
-            columns = [(coerce(quoted(n), mine[n], t) if n in mine else null_of(t)).alias(n) for n, t in kept]
-            one = df.select(*columns, *([F.lit(number).alias("__file"), F.col("__row")] if ordered else []))
-            out = one if out is None else out.unionByName(one)
-        return State(out, kept, [("__file", False), ("__row", False)] if ordered else [])
+                            held = []
+                    if held:
+                        yield pa.RecordBatch.from_pylist(held, schema=arrow)
+
+        df = self.spark.read.format("binaryFile").load(self.paths).select("path", "content").mapInArrow(run, schema)
+        columns = []
+        for n, t in kept:
+            value = null_of(t)
+            for k, fields in enumerate(own):
+                if n in fields:
+                    c, mine = fields[n]
+                    value = F.when(F.col("__kind") == k, coerce(F.col(c), mine, t)).otherwise(value) if len(own) > 1 else coerce(F.col(c), mine, t)
+            columns.append(value.alias(n))
+        order = [("__file", False), ("__row", False)] if ordered else []
+        return State(df.select(*columns, *[F.col(n) for n, _ in order]), kept, order)

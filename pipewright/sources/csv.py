@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv as pycsv
 import io
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,8 +15,10 @@ from ..errors import LoadError
 from ..operators.state import State, quoted
 from ..types import LType, Schema
 from . import Prepared
+from .files import and_above, beginning, beginnings, named, origin
 
 BROKEN = "__broken"
+LONGEST = 1 << 25  # bytes of a file that the driver looks at for its first row
 INT = r"^[+-]?[0-9]+$"
 FLOAT = r"^[+-]?([0-9]+\.?[0-9]*([eE][+-]?[0-9]+)?|\.[0-9]+([eE][+-]?[0-9]+)?|(?i:inf|infinity|nan))$"
 BOOL = r"^(?i:true|false)$"
@@ -49,12 +52,15 @@ def widths(delim: str):
     return count
 
 
+@dataclass
 class Shard:
-    """One file: its columns in their order, whether its first line is a header, and where they go."""
+    """One file: its columns in their order, whether its first line is a header, and whether it is ``split`` between tasks
+    (None: not known yet)."""
 
-    def __init__(self, path: str, columns: list[str], header: bool):
-        self.path, self.columns, self.header = path, columns, header
-        self.quoted_lines: bool | None = None
+    path: str
+    columns: list[str]
+    header: bool
+    split: bool | None = None
 
 
 class CsvSource(Prepared):
@@ -73,15 +79,25 @@ class CsvSource(Prepared):
         text = "\n".join(r[0] for r in rows).removeprefix("﻿")
         return [r for r in pycsv.reader(io.StringIO(text), delimiter=self.options.delim, skipinitialspace=True) if r]
 
+    def first_record(self, path: str, data: bytes, ended: bool) -> list[str]:
+        """The cells of the first line that isn't empty, of a file that begins so."""
+        while True:
+            text = data.decode("utf-8", "replace").removeprefix("\ufeff")
+            found = [r for r in pycsv.reader(io.StringIO(text, newline=""), delimiter=self.options.delim, skipinitialspace=True) if r][:2]
+            if ended or len(found) > 1:
+                return found[0] if found else []
+            if len(data) >= LONGEST:
+                raise LoadError(f"{path}: the first row does not end within {LONGEST} bytes")
+            data, ended = beginning(self.spark, path, 8 * len(data))
+
     def classify(self, paths: list[str]) -> tuple[list[Shard], list[str]]:
         """The first file's header anchors. A later file whose first line repeats it, in any order or with more columns
         whose names look like names, has a header; else its rows go by position."""
         shards: list[Shard] = []
         names: list[str] = []
         extra: set[str] = set()
-        for path in paths:
-            first = next(iter(self.lines(path, 20)), [])
-            line = [x.strip() for x in first]
+        for path, (data, ended) in zip(paths, beginnings(self.spark, paths), strict=True):
+            line = [x.strip() for x in self.first_record(path, data, ended)]
             if not shards:
                 names = line if self.options.header else [f"col{i + 1}" for i in range(len(line))]
                 if twice := next((n for n in names if names.count(n) > 1), None):
@@ -108,16 +124,30 @@ class CsvSource(Prepared):
         named = all(x.isidentifier() and (x[0] == "_" or x[0].islower()) for x in fresh)
         return not numbers and named and len(fresh) < len(line)
 
-    def read(self, shard: Shard) -> DataFrame:
-        """All cells as text. A line of another width than the header's fails, unless an option allows it."""
-        o = self.options
+    def groups(self) -> list[list[Shard]]:
+        """Files that one scan can read: of the same columns, with or without a header, split or not."""
+        if unknown := [s for s in self.shards if s.split is None]:
+            # a line with an odd number of quotes: cells of that file hold line ends, so no task may begin inside it
+            quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+            lines = self.spark.read.text([s.path for s in unknown]).select(origin().alias("file"), (quotes % 2 == 1).alias("odd"))
+            odd = {x for r in lines.where("odd").select("file").distinct().collect() for x in and_above(r[0])}
+            for s in unknown:
+                s.split = not odd or named(self.spark, s.path) not in odd
+        out: dict[tuple, list[Shard]] = {}
+        for s in self.shards:
+            out.setdefault((tuple(s.columns), s.header, s.split), []).append(s)
+        return list(out.values())
+
+    def read(self, shards: list[Shard]) -> DataFrame:
+        """All cells as text, and the file and row they are from. A line of another width than the header's fails, unless an option allows it."""
+        o, shard = self.options, shards[0]
         fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(shard.columns))]
         schema = T.StructType([*fields, T.StructField(BROKEN, T.StringType())])
         reader = self.spark.read.schema(schema).options(
             header=str(shard.header).lower(), sep=o.delim, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN,
-            ignoreLeadingWhiteSpace="true", enforceSchema="true", columnPruning="false", multiLine=str(self.quoted_lines(shard)).lower(),
+            ignoreLeadingWhiteSpace="true", enforceSchema="true", columnPruning="false", multiLine=str(not shard.split).lower(),
         )
-        df = reader.csv(shard.path)
+        df = reader.csv([s.path for s in shards]).select("*", origin().alias("__file"), F.monotonically_increasing_id().alias("__row"))
         if o.allow_jagged_rows and o.ignore_unknown_values:
             return df
         broken = F.col(BROKEN)
@@ -126,24 +156,16 @@ class CsvSource(Prepared):
             bad = have > want if o.allow_jagged_rows else have < want
         else:
             bad = broken.isNotNull()
-        message = F.concat(F.lit(f"{shard.path}: a row does not have {len(shard.columns)} cells: "), F.substring(broken, 1, 200), F.substring(F.coalesce("c0", F.lit("")), 1, 0))
+        message = F.concat("__file", F.lit(f": a row does not have {len(shard.columns)} cells: "), F.substring(broken, 1, 200), F.substring(F.coalesce("c0", F.lit("")), 1, 0))
         # the check is part of a filter, so no projection can prune it; it names a cell, as Spark's reader demands
         return df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
-    def quoted_lines(self, shard: Shard) -> bool:
-        """Whether cells anywhere in the file seem to hold line ends, which takes a reader that cannot split it. Asked once."""
-        if shard.quoted_lines is None:
-            quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-            shard.quoted_lines = bool(self.spark.read.text(shard.path).agg(F.max(quotes % 2)).first()[0])
-        return shard.quoted_lines
-
-    def cells(self, shard: Shard, number: int, ordered: bool) -> DataFrame:
-        df = self.read(shard)
-        at = {n: i for i, n in enumerate(shard.columns)}
+    def cells(self, shards: list[Shard], ordered: bool) -> DataFrame:
+        df = self.read(shards)
+        at = {n: i for i, n in enumerate(shards[0].columns)}
         names = [n for n, _ in self.schema] if hasattr(self, "schema") else list(at)
         columns = [cell(F.col(f"c{at[n]}")).alias(n) if n in at else F.lit(None).cast("string").alias(n) for n in names]
-        order = [F.lit(number).alias("__file"), F.monotonically_increasing_id().alias("__row")] if ordered else []
-        return df.select(*columns, *order)
+        return df.select(*columns, *([F.col("__file"), F.col("__row")] if ordered else []))
 
     def inferred(self, names: list[str]) -> Schema:
         """The narrowest kinds of a sample; of all rows if infer_rows is -1, by one aggregation."""
@@ -170,8 +192,8 @@ class CsvSource(Prepared):
                     break
             return [(n, settled(seen[n]).maybe(not reached_end)) for n in names]
         found: dict[str, set[str]] = {n: set() for n in names}
-        for i, shard in enumerate(self.shards):
-            df = self.cells(shard, i, False)
+        for shards in self.groups():
+            df, shard = self.cells(shards, False), shards[0]
             for n in set(names) - set(shard.columns):
                 found[n].add("null")
             aggs = []
@@ -187,8 +209,8 @@ class CsvSource(Prepared):
     def load(self, needed, ordered) -> State:
         kept = [(n, t) for n, t in self.schema if needed is None or n in needed]
         df = None
-        for i, shard in enumerate(self.shards):
-            one = self.cells(shard, i, ordered)
+        for shards in self.groups():
+            one = self.cells(shards, ordered)
             df = one if df is None else df.unionByName(one)
         values = {n: converted(quoted(n), t.kind) for n, t in kept}
         hidden = [F.col("__file"), F.col("__row")] if ordered else []

@@ -5,8 +5,12 @@ from __future__ import annotations
 import glob
 import os
 import re
+import zlib
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import SparkSession
+import zstandard
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import LoadError
 from ..plans.names import has_glob
@@ -53,3 +57,60 @@ def is_directory(spark: SparkSession, path: str) -> bool:
         return os.path.isdir(path)
     p, system = hadoop(spark, path)
     return system.getFileStatus(p).isDirectory()
+
+
+#: Suffixes that Spark's readers unpack and Hadoop's codecs may not, without native libraries.
+UNPACKED = {".zst": "zstd", ".gz": "gzip"}
+
+
+def beginning(spark: SparkSession, path: str, n: int) -> tuple[bytes, bool]:
+    """Up to ``n`` first bytes of a file, unpacked as Spark would, and whether they are all of it; of a folder, its first file's."""
+    p, system = hadoop(spark, path)
+    if system.getFileStatus(p).isDirectory():
+        inside = sorted(str(x.getPath()) for x in system.listStatus(p) if not x.getPath().getName().startswith(("_", ".")))
+        return beginning(spark, inside[0], n) if inside else (b"", True)
+    sc, unpacked = spark.sparkContext, UNPACKED.get(os.path.splitext(path)[1].lower())
+    codec = None if unpacked else sc._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(sc._jsc.hadoopConfiguration()).getCodec(p)
+    stream = system.open(p)
+    try:
+        stream = codec.createInputStream(stream) if codec is not None else stream
+        if unpacked:
+            from .options import Chunks, inflated
+
+            data = b""
+            try:
+                for chunk in inflated(Chunks(iter(lambda: bytes(stream.readNBytes(1 << 16)) or None, None)), unpacked):
+                    data += chunk
+                    if len(data) >= n:
+                        break
+            except (OSError, EOFError, zlib.error, zstandard.ZstdError) as e:
+                raise LoadError(f"{path}: {e}") from None
+            data = data[:n]
+        else:
+            data = bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+    return data, len(data) < n
+
+
+def beginnings(spark: SparkSession, paths: list[str], n: int = 1 << 16) -> list[tuple[bytes, bool]]:
+    """Of many files, without a job."""
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(lambda path: beginning(spark, path, n), paths))
+
+
+def origin() -> Column:
+    """The file that a row of a scan is from, under its plain name: names sort as the paths of a pattern do."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def named(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as ``and_above`` writes it."""
+    p, system = hadoop(spark, path)
+    return and_above(str(system.makeQualified(p)))[0]
+
+
+def and_above(path: str) -> list[str]:
+    """A file as ``origin`` names it, and the folders it is in."""
+    path = re.sub("^file:/+", "file:/", path).rstrip("/")
+    return [path, *[path[: m.start()] for m in re.finditer("/+", path) if m.start() > 0]]

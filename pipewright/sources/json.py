@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json as pyjson
 import pickle
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,6 +21,7 @@ from ..errors import LoadError
 from ..operators.state import State
 from ..types import BOOL, FLOAT, INT, NULL, STRING, LType, Schema, TypeConflict, finalised, list_of, record, spark_type, unify
 from . import Prepared
+from .files import beginning, origin
 
 
 class Bad(ValueError):
@@ -147,6 +149,11 @@ class JsonSource(Prepared):
 
     def sample(self, path: str, n: int) -> list:
         if self.lines:
+            data, ended = beginning(self.spark, path, 1 << 18)
+            found = re.split("\r\n|\r|\n", data.decode("utf-8", "replace"))
+            found = [x for x in (found if ended else found[:-1]) if x.strip(" ")]
+            if ended or len(found) >= n:
+                return found[:n]
             rows = self.spark.read.text(path).where(F.trim("value") != "").limit(n).collect()
             return [r[0] for r in rows]
         whole = self.spark.read.text(path, wholetext=True).first()
@@ -162,25 +169,25 @@ class JsonSource(Prepared):
             raise LoadError(f"{path}: not one array of objects")
         return value
 
-    def texts(self, number: int, path: str) -> DataFrame:
-        """(file, row, value): a record's text each, or a whole array's."""
-        df = self.spark.read.text(path) if self.lines else self.spark.read.text(path, wholetext=True)
-        return df.select(F.lit(number).alias("__file"), F.monotonically_increasing_id().alias("__row"), "value")
-
     def all_texts(self) -> DataFrame:
-        out = None
-        for i, path in enumerate(self.paths):
-            out = self.texts(i, path) if out is None else out.union(self.texts(i, path))
-        return out
+        """(file, row, value) of all files in one scan: a record's text each, or a whole array's. Row numbers rise within a file."""
+        df = self.spark.read.text(self.paths, wholetext=not self.lines)
+        return df.select(origin().alias("__file"), F.monotonically_increasing_id().alias("__row"), "value")
 
     def infer_all(self) -> tuple[LType | None, int]:
-        """A partial type from each partition, merged on the driver in order; their number is that of partitions."""
+        """A partial type from each file of each partition, merged on the driver in order."""
         lines = self.lines
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def part() -> pa.RecordBatch:
+                return pa.RecordBatch.from_pydict({"file": pa.array([at[0]], pa.string()), "row": [at[1]], "type": pa.array([cloudpickle.dumps(t)], pa.binary()), "bad": pa.array([bad], pa.int64())})
+
             t, bad, at = None, 0, None
             for batch in batches:
                 for file, row, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                    if at and at[0] != file:
+                        yield part()
+                        t, bad, at = None, 0, None
                     at = at or (file, row)
                     for value in records(text, lines):
                         try:
@@ -190,9 +197,9 @@ class JsonSource(Prepared):
                         except (Bad, TypeConflict):
                             bad += 1
             if at:
-                yield pa.RecordBatch.from_pydict({"file": pa.array([at[0]], pa.int32()), "row": [at[1]], "type": pa.array([cloudpickle.dumps(t)], pa.binary()), "bad": pa.array([bad], pa.int64())})
+                yield part()
 
-        found = self.all_texts().mapInArrow(run, "file int, row long, type binary, bad long").orderBy("file", "row").collect()
+        found = self.all_texts().mapInArrow(run, "file string, row long, type binary, bad long").orderBy("file", "row").collect()
         t, bad = None, sum(r["bad"] for r in found)
         for r in found:
             own = pickle.loads(bytes(r["type"]))
@@ -207,7 +214,7 @@ class JsonSource(Prepared):
         budget, lines = self.options.max_bad_records, self.lines
         known = None if needed is not None and len(kept) < len(self.schema) else {n for n, _ in self.schema}
         fields = [T.StructField(n, spark_type(t)) for n, t in kept]
-        schema = T.StructType([*fields, T.StructField("__file", T.IntegerType()), T.StructField("__row", T.LongType()), T.StructField("__bad", T.StringType())])
+        schema = T.StructType([*fields, T.StructField("__file", T.StringType()), T.StructField("__row", T.LongType()), T.StructField("__bad", T.StringType())])
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)

@@ -140,7 +140,8 @@ def readable(spark: SparkSession, paths: list[str], o: Options) -> list[str]:
     """Paths that Spark reads; for what its codecs don't, decompressed copies in the shared folder, each made by a task of its own."""
     if o.native:
         return paths
-    targets = [scratch_file(spark, "input") for _ in paths]
+    base = scratch_file(spark, "input")
+    targets = [f"{base}-{i:08d}" for i in range(len(paths))]  # in the order of the paths
     if spark.sparkContext.master.startswith("local") or all("://" in p for p in paths):
         jobs = list(zip(paths, targets, strict=True))
 

@@ -123,6 +123,30 @@ def test_csv_globs(at):
         at.schema("g/*")
 
 
+def test_csv_many_files(at):
+    names = [f"g/part {i:04d}+{i % 7}%20é.csv" for i in range(300)]
+    for i, name in enumerate(names):
+        at.write(name, f"id,t\n{i},x\n" if i % 3 else f"t,id\ny,{i}\n")
+    at.write(names[150], 'id,t\n150,"two\nlines"\n')
+    rows = at.rows("g/*.csv")
+    assert [r[1] for r in rows] == list(range(300)) and rows[150][0] == "two\nlines" and {r[0] for r in rows} == {"x", "y", "two\nlines"}
+    assert at.rows("g/*.csv | count") == [(300,)] and at.schema("g/*.csv with infer_rows=-1") == [("t", "string"), ("id", "int")]
+
+
+def test_csv_long_first_record(at):
+    at.write("a.csv", 'id,t\n1,"' + "x" * 99_000 + '"\n').write("b.csv", "n" * 100_000 + ",t\n1,2\n")
+    assert at.rows("a.csv") == [(1, "x" * 99_000)] and at.rows("b.csv") == [(1, 2)]
+
+
+def test_one_scan_for_all_files(spark, at, tmp_path):
+    for i in range(40):
+        at.write(f"c/{i:02d}.csv", f"id\n{i}\n").write(f"j/{i:02d}.jsonl", f'{{"id": {i}}}\n').write(f"a/{i:02d}.json", f'[{{"id": {i}}}]')
+    for text in ("c/*.csv", "j/*.jsonl", "a/*.json"):
+        df = run(spark, text + " with infer_rows=-1", ordered=True, base=str(tmp_path))
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+        assert [r[0] for r in df.collect()] == list(range(40))
+
+
 # JSON
 
 
