@@ -19,7 +19,7 @@ from ..functions.values import coerce, null_of
 from ..operators.state import State
 from ..types import LType, list_of, record, spark_type, union_of
 from . import Prepared
-from .files import beginning, beginnings
+from .files import beginning, beginnings, scan
 from .parquet import merged
 
 MAGIC = b"Obj\x01"
@@ -235,7 +235,8 @@ class AvroSource(Prepared):
                     if held:
                         yield pa.RecordBatch.from_pylist(held, schema=arrow)
 
-        df = self.spark.read.format("binaryFile").load(self.paths).select("path", "content").mapInArrow(run, schema)
+        files = scan(self.spark, lambda: self.spark.read.format("binaryFile").load(self.paths))
+        df = files.select("path", "content").mapInArrow(run, schema)
         columns = []
         for n, t in kept:
             value = null_of(t)

@@ -6,10 +6,11 @@ import glob
 import os
 import re
 import zlib
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 
 import zstandard
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import LoadError
@@ -61,6 +62,7 @@ def is_directory(spark: SparkSession, path: str) -> bool:
 
 #: Suffixes that Spark's readers unpack and Hadoop's codecs may not, without native libraries.
 UNPACKED = {".zst": "zstd", ".gz": "gzip"}
+CODECS = {".bz2", ".deflate", ".lz4", ".snappy"}
 
 
 def beginning(spark: SparkSession, path: str, n: int) -> tuple[bytes, bool]:
@@ -69,8 +71,9 @@ def beginning(spark: SparkSession, path: str, n: int) -> tuple[bytes, bool]:
     if system.getFileStatus(p).isDirectory():
         inside = sorted(str(x.getPath()) for x in system.listStatus(p) if not x.getPath().getName().startswith(("_", ".")))
         return beginning(spark, inside[0], n) if inside else (b"", True)
-    sc, unpacked = spark.sparkContext, UNPACKED.get(os.path.splitext(path)[1].lower())
-    codec = None if unpacked else sc._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(sc._jsc.hadoopConfiguration()).getCodec(p)
+    sc, suffix = spark.sparkContext, os.path.splitext(path)[1].lower()
+    unpacked = UNPACKED.get(suffix)
+    codec = None if suffix not in CODECS else sc._jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(sc._jsc.hadoopConfiguration()).getCodec(p)
     stream = system.open(p)
     try:
         stream = codec.createInputStream(stream) if codec is not None else stream
@@ -114,3 +117,14 @@ def and_above(path: str) -> list[str]:
     """A file as ``origin`` names it, and the folders it is in."""
     path = re.sub("^file:/+", "file:/", path).rstrip("/")
     return [path, *[path[: m.start()] for m in re.finditer("/+", path) if m.start() > 0]]
+
+
+def scan(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame:
+    """A read of many files. Spark lists them in a job with a task for each path; a few for each core do."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        return read()
+    finally:
+        spark.conf.set(key, before)

@@ -21,7 +21,7 @@ from ..errors import LoadError
 from ..operators.state import State
 from ..types import BOOL, FLOAT, INT, NULL, STRING, LType, Schema, TypeConflict, finalised, list_of, record, spark_type, unify
 from . import Prepared
-from .files import beginning, origin
+from .files import beginning, origin, scan
 
 
 class Bad(ValueError):
@@ -171,7 +171,7 @@ class JsonSource(Prepared):
 
     def all_texts(self) -> DataFrame:
         """(file, row, value) of all files in one scan: a record's text each, or a whole array's. Row numbers rise within a file."""
-        df = self.spark.read.text(self.paths, wholetext=not self.lines)
+        df = scan(self.spark, lambda: self.spark.read.text(self.paths, wholetext=not self.lines))
         return df.select(origin().alias("__file"), F.monotonically_increasing_id().alias("__row"), "value")
 
     def infer_all(self) -> tuple[LType | None, int]:
