@@ -6,9 +6,11 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.errors import PythonException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from ..operators.state import State, quoted
 from ..sources.files import hadoop, remote
 from ..types import LType, Schema
 from .files import existing_parts, parts_pattern, put_in_place, target
-from .writers import WRITERS, avro_schema, check_binary
+from .writers import WRITERS, avro_schema, check_binary, join_parts, write_part
 
 MADE = "part long, path string"
 
@@ -41,21 +43,43 @@ def tuples(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
         yield from zip(*[batch.column(i).to_pylist() for i in range(width)], strict=True) if width else [()] * batch.num_rows
 
 
+def read_back(path: str):
+    if remote(path):
+        system, name = fs.FileSystem.from_uri(path)
+        return system.open_input_file(name)
+    return open(path, "rb")
+
+
 def one_file(state: State, schema: Schema, form: str, stage: str) -> DataFrame:
-    """One task writes the file, from rows that it sorts and spills as need be."""
-    columns = [quoted(n).alias(f"c{i}") for i, (n, _) in enumerate(schema)]
-    hidden = [c.alias(f"k{i}") for i, c in enumerate(state.hidden())]
-    df = state.df.select(*columns, *hidden).repartition(1)
-    if hidden:
-        df = df.sortWithinPartitions(*[F.col(f"k{i}").desc_nulls_last() if down else F.col(f"k{i}").asc_nulls_last() for i, (_, down) in enumerate(state.order)])
+    """Each task of the sorted table writes its rows as a part; then one task puts the parts' bytes together (of Parquet, the
+    row groups), so that only it sees the whole file, and no rows."""
+    spark, sync = state.df.sparkSession, os.urandom(16)
+    df = state.sorted().select(*[quoted(n).alias(f"c{i}") for i, (n, _) in enumerate(schema)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = (b for b in batches if b.num_rows)
+        if (first := next(batches, None)) is None:
+            return
         path = f"{stage}/{uuid.uuid4().hex}"
         with opened(path) as out:
-            WRITERS[form](tuples(batches, len(schema)), schema, out)
-        yield pa.RecordBatch.from_pydict({"part": pa.array([1], pa.int64()), "path": [path]})
+            write_part(chain([first], batches), lambda some: tuples(some, len(schema)), form, schema, out, sync)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "path": [path]})
+
+    parts = [r["path"] for r in sorted(df.mapInArrow(run, MADE).collect())]  # a row for each task
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator:
+            for part in parts:
+                with read_back(part) as file:
+                    yield file
+
+        for _ in batches:
+            path = f"{stage}/{uuid.uuid4().hex}"
+            with opened(path) as out:
+                join_parts(each(), form, schema, out, sync)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([1], pa.int64()), "path": [path]})
 
-    return df.mapInArrow(run, MADE)
+    return spark.range(0, min(1, len(parts)), 1, 1).mapInArrow(join, MADE)
 
 
 def many_files(state: State, schema: Schema, form: str, stage: str, rows: int) -> DataFrame:

@@ -39,6 +39,8 @@ def float_text(x: float) -> str:
         return "NaN"
     if math.isinf(x):
         return "+Inf" if x > 0 else "-Inf"
+    if 1e-4 <= abs(x) < 1e6:  # here Python's shortest digits are plain too
+        return repr(x).removesuffix(".0")
     sign, digits, point = decimal(x)
     if not digits:
         return sign + "0"
@@ -49,6 +51,8 @@ def float_json(x: float) -> str:
     """Shortest digits; with an exponent below 1e-6 and from 1e21 on. JSON has no other numbers."""
     if not math.isfinite(x):
         raise WriteError(f"JSON cannot hold {float_text(x)}")
+    if 1e-4 <= abs(x) < 1e16:
+        return repr(x).removesuffix(".0")
     sign, digits, point = decimal(x)
     if not digits:
         return sign + "0"
@@ -127,6 +131,8 @@ def dump(value, indent: str | None = None, level: int = 0) -> str:
         return _wrapped("[", [dump(x, indent, level + 1) for x in value], "]", indent, level)
     if isinstance(value, float):
         return float_json(value)
+    if type(value) is int:
+        return str(value)
     out = json.dumps(value, ensure_ascii=False)
     if isinstance(value, str):
         for c in "<>&  ":
