@@ -46,7 +46,7 @@ def execute(spark: SparkSession, text: str, out, stdin=None, base: str | None =
     query = parse(text)
     plan = plan_query(configured(spark), query, stdin, base)
     path = query.output.path
-    if path is not None and query.output.format != "table" and reachable(spark, path):
+    if path is not None and query.output.format != "table" and reachable(spark, path, base):
         write_distributed(plan.state(ordered=True), plan.schema, query.output, base)
         return
     if path is not None and remote(path):

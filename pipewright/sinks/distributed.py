@@ -19,6 +19,7 @@ from ..errors import WriteError
 from ..lang.ast import Output
 from ..operators.state import State, quoted
 from ..sources.files import hadoop, remote
+from ..sources.options import has_shared_folder, shared_folder
 from ..types import LType, Schema
 from .files import existing_parts, parts_pattern, put_in_place, target
 from .writers import WRITERS, avro_schema, check_binary, join_parts, write_part
@@ -26,9 +27,16 @@ from .writers import WRITERS, avro_schema, check_binary, join_parts, write_part
 MADE = "part long, path string"
 
 
-def reachable(spark: SparkSession, path: str) -> bool:
-    """Whether executors write where the path points: in a store with a URI, or where all run on one machine."""
-    return remote(path) or spark.sparkContext.master.startswith("local")
+def reachable(spark: SparkSession, path: str, base: str | None = None) -> bool:
+    """Whether executors write where the path points: in a store with a URI, where all run on one machine, or in the folder
+    that they share with the driver."""
+    if remote(path) or spark.sparkContext.master.startswith("local"):
+        return True
+    shared = shared_folder(spark) if has_shared_folder(spark) else None
+    if not shared or remote(shared):
+        return False
+    full, shared = os.path.realpath(os.path.join(base or os.getcwd(), path)), os.path.realpath(shared)
+    return os.path.commonpath([full, shared]) == shared
 
 
 def opened(path: str):

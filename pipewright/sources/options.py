@@ -95,6 +95,10 @@ def inflated(file, compression: str) -> Iterator[bytes]:
         yield chunk
 
 
+def has_shared_folder(spark: SparkSession) -> bool:
+    return bool(spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir"))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, which may be in a store; a temporary one only where all run on one machine."""
     import tempfile
