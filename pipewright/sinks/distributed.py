@@ -96,8 +96,9 @@ def many_files(state: State, schema: Schema, form: str, stage: str, rows: int) -
     spark, width = state.df.sparkSession, len(schema)
     columns = [quoted(n).alias(f"c{i}") for i, (n, _) in enumerate(schema)]
     sorted_rows = state.sorted().select(*columns, F.spark_partition_id().alias("__p"), F.monotonically_increasing_id().alias("__i"))
-    sorted_rows.write.parquet(f"{stage}/rows")
-    table = spark.read.schema(sorted_rows.schema).parquet(f"{stage}/rows")
+    place = f"{stage if remote(stage) else f'file://{os.path.abspath(stage)}'}/rows"  # Spark's default may be another file system
+    sorted_rows.write.parquet(place)
+    table = spark.read.schema(sorted_rows.schema).parquet(place)
     sizes = sorted((r["__p"], r["count"]) for r in table.groupBy("__p").count().collect())  # a row for each partition
     before, offsets = 0, []
     for p, n in sizes:
