@@ -102,6 +102,29 @@ def beginnings(spark: SparkSession, paths: list[str], n: int = 1 << 16) -> list[
         return list(pool.map(lambda path: beginning(spark, path, n), paths))
 
 
+def lengths(spark: SparkSession, paths: list[str]) -> list[int | None]:
+    """Bytes of each file; None for a folder."""
+    def length(path: str) -> int | None:
+        if os.path.isabs(path):  # else a URI, as a pattern's are
+            return None if os.path.isdir(path) else os.path.getsize(path)
+        p, system = hadoop(spark, path)
+        status = system.getFileStatus(p)
+        return None if status.isDirectory() else status.getLen()
+
+    with ThreadPoolExecutor(16) as pool:
+        return list(pool.map(length, paths))
+
+
+def last_byte(spark: SparkSession, path: str, size: int) -> bytes:
+    p, system = hadoop(spark, path)
+    stream = system.open(p)
+    try:
+        stream.seek(max(0, size - 1))
+        return bytes(stream.readNBytes(1))
+    finally:
+        stream.close()
+
+
 def origin() -> Column:
     """The file that a row of a scan is from, under its plain name: names sort as the paths of a pattern do."""
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))

@@ -9,7 +9,10 @@ from __future__ import annotations
 import json as pyjson
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import groupby, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -21,7 +24,14 @@ from ..errors import LoadError
 from ..operators.state import State
 from ..types import BOOL, FLOAT, INT, NULL, STRING, LType, Schema, TypeConflict, finalised, list_of, record, spark_type, unify
 from . import Prepared
-from .files import beginning, origin, scan
+from .files import beginning, last_byte, lengths, origin, scan
+
+
+#: A JSON file of up to so many bytes is parsed as a whole; of a larger one, text of so many characters at a time.
+WHOLE, CHUNK = 1 << 22, 1 << 16
+END, SPACE = "}", " \t\n\r"
+TEXT = re.compile(r'"(?:[^"\\]|\\.)*+"', re.S)
+REST = re.compile(r'(?:[^"\\]|\\.)*+("?)', re.S)
 
 
 class Bad(ValueError):
@@ -156,8 +166,16 @@ class JsonSource(Prepared):
                 return found[:n]
             rows = self.spark.read.text(path).where(F.trim("value") != "").limit(n).collect()
             return [r[0] for r in rows]
-        whole = self.spark.read.text(path, wholetext=True).first()
-        return self.array(whole[0] if whole else "", path)[:n]
+        size = 1 << 18
+        while True:
+            data, ended = beginning(self.spark, path, size)
+            text = data.decode("utf-8", "replace")
+            if ended:
+                return self.array(text, path)[:n]
+            found = list(islice(elements(text.split(END)[:-1], path, False), n))
+            if len(found) >= n:
+                return found
+            size = min(8, 1 + n // max(1, len(found))) * len(data)
 
     @staticmethod
     def array(text: str, path: str) -> list:
@@ -169,37 +187,56 @@ class JsonSource(Prepared):
             raise LoadError(f"{path}: not one array of objects")
         return value
 
-    def all_texts(self) -> DataFrame:
-        """(file, row, value) of all files in one scan: a record's text each, or a whole array's. Row numbers rise within a file."""
-        df = scan(self.spark, lambda: self.spark.read.text(self.paths, wholetext=not self.lines))
-        return df.select(origin().alias("__file"), F.monotonically_increasing_id().alias("__row"), "value")
+    def all_texts(self) -> list[tuple[DataFrame, bool]]:
+        """Scans of (file, row, value), and whether values are whole: a record's text each, or a small file's array; or what
+        ends at each closing brace of larger arrays, all of a file in one task, in order. Row numbers rise within a file."""
+        def read(paths: list[str], **how) -> DataFrame:
+            df = scan(self.spark, lambda: self.spark.read.text(paths, **how))
+            return df.select(origin().alias("__file"), F.monotonically_increasing_id().alias("__row"), "value")
+
+        if self.lines:
+            return [(read(self.paths), True)]
+        sizes = dict(zip(self.paths, lengths(self.spark, self.paths), strict=True))
+        small = [p for p, n in sizes.items() if n is not None and n <= (WHOLE if p.lower().endswith(".json") else WHOLE // 64)]
+        large = [p for p in sizes if p not in set(small)]
+        out = [(read(small, wholetext=True), True)] if small else []
+        for path in large:  # the reader leaves out a brace at the very end, which no array has
+            if path.lower().endswith(".json") and sizes[path] and last_byte(self.spark, path, sizes[path]) == END.encode():
+                raise LoadError(f"{path}: not one array of objects")
+        if large:
+            out.append((read(large, lineSep=END).repartition("__file").sortWithinPartitions("__file", "__row"), False))
+        return out
 
     def infer_all(self) -> tuple[LType | None, int]:
         """A partial type from each file of each partition, merged on the driver in order."""
         lines = self.lines
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            def part() -> pa.RecordBatch:
-                return pa.RecordBatch.from_pydict({"file": pa.array([at[0]], pa.string()), "row": [at[1]], "type": pa.array([cloudpickle.dumps(t)], pa.binary()), "bad": pa.array([bad], pa.int64())})
+        def run_of(whole: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                def part() -> pa.RecordBatch:
+                    return pa.RecordBatch.from_pydict({"file": pa.array([at[0]], pa.string()), "row": [at[1]], "type": pa.array([cloudpickle.dumps(t)], pa.binary()), "bad": pa.array([bad], pa.int64())})
 
-            t, bad, at = None, 0, None
-            for batch in batches:
-                for file, row, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                t, bad, at = None, 0, None
+                for file, row, value in values(batches, lines, whole):
                     if at and at[0] != file:
                         yield part()
                         t, bad, at = None, 0, None
                     at = at or (file, row)
-                    for value in records(text, lines):
-                        try:
-                            if isinstance(value, Bad):
-                                raise value
-                            t = merge(t, type_of(value))
-                        except (Bad, TypeConflict):
-                            bad += 1
-            if at:
-                yield part()
-
-        found = self.all_texts().mapInArrow(run, "file string, row long, type binary, bad long").orderBy("file", "row").collect()
+                    try:
+                        if isinstance(value, Bad):
+                            raise value
+                        t = merge(t, type_of(value))
+                    except (Bad, TypeConflict):
+                        bad += 1
+                if at:
+                    yield part()
+
+            return run
+
+        found = []
+        for df, whole in self.all_texts():
+            found += df.mapInArrow(run_of(whole), "file string, row long, type binary, bad long").collect()
+        found.sort(key=lambda r: (r["file"].encode(), r["row"]))
         t, bad = None, sum(r["bad"] for r in found)
         for r in found:
             own = pickle.loads(bytes(r["type"]))
@@ -219,28 +256,29 @@ class JsonSource(Prepared):
 
         arrow = to_arrow_schema(schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+        def run_of(whole: bool):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = []
-                for file, row, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                    for i, value in enumerate(records(text, lines)):
-                        made = {"__file": file, "__row": row + i, "__bad": None}
-                        try:
-                            if isinstance(value, Bad):
-                                raise value
-                            if known is not None and (fresh := set(value) - known):
-                                raise Bad(f"unknown field {sorted(fresh)[0]!r}")
-                            made |= {n: fitted(value.get(n), t, n) for n, t in kept}
-                        except Bad as e:
-                            made = {"__file": file, "__row": row + i, "__bad": str(e)[:200]}
-                        out.append(made)
-                        if len(out) >= 8192:
-                            yield pa.RecordBatch.from_pylist(out, schema=arrow)
-                            out = []
+                for file, row, value in values(batches, lines, whole):
+                    made = {"__file": file, "__row": row, "__bad": None}
+                    try:
+                        if isinstance(value, Bad):
+                            raise value
+                        if known is not None and (fresh := set(value) - known):
+                            raise Bad(f"unknown field {sorted(fresh)[0]!r}")
+                        made |= {n: fitted(value.get(n), t, n) for n, t in kept}
+                    except Bad as e:
+                        made = {"__file": file, "__row": row, "__bad": str(e)[:200]}
+                    out.append(made)
+                    if len(out) >= 8192:
+                        yield pa.RecordBatch.from_pylist(out, schema=arrow)
+                        out = []
                 if out:
                     yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-        df = self.all_texts().mapInArrow(run, schema)
+            return run
+
+        df = reduce(DataFrame.union, [texts.mapInArrow(run_of(whole), schema) for texts, whole in self.all_texts()])
         bad = F.col("__bad")
         if budget:
             if df.where(bad.isNotNull()).limit(budget + 1).count() > budget:
@@ -255,6 +293,69 @@ class JsonSource(Prepared):
         return State(df.select(*[quoted(n) for n, _ in kept], *[F.col(n) for n, _ in order]), kept, order)
 
 
+def values(batches: Iterator[pa.RecordBatch], lines: bool, whole: bool) -> Iterator[tuple[str, int, object]]:
+    """(file, row, object or Bad) of what ``all_texts`` gives."""
+    rows = (r for batch in batches for r in zip(*[c.to_pylist() for c in batch.columns], strict=True))
+    if whole:
+        for file, row, text in rows:
+            for i, value in enumerate(records(text, lines)):
+                yield file, row + i, value
+        return
+    for file, own in groupby(rows, key=itemgetter(0)):
+        for i, value in enumerate(elements((text for _, _, text in own), file)):
+            yield file, i, value if isinstance(value, dict) else Bad("not an object")
+
+
+def elements(pieces: Iterable[str], path: str, ended: bool = True) -> Iterator:
+    """The elements of an array whose text comes cut at its closing braces, a few at a time. What lies between two elements
+    of the array is parsed as an array of its own; nesting is counted only to tell where that may be. If the text has not
+    ``ended``, elements that are not whole are left out."""
+    held: list[str] = []
+    size = depth = 0
+    quoted = started = False
+
+    def between(last: bool) -> list:
+        nonlocal started
+        text = "".join(held)
+        if last and not started:
+            return JsonSource.array(text, path)
+        text = text.strip(SPACE)
+        if last and text == "]":
+            return []
+        if text[:1] != (",", "[")[not started] or last and text[-1:] != "]":
+            raise LoadError(f"{path}: not one array of objects")
+        found = JsonSource.array("[" + text[1 : len(text) - last] + "]", path)
+        if not found:
+            raise LoadError(f"{path}: not one array of objects")
+        started = True
+        return found
+
+    ahead = None
+    for piece in pieces:
+        if ahead is not None:
+            held.append(ahead + END)
+            size += len(ahead) + 1
+            rest = ahead
+            if quoted:
+                m = REST.match(rest)
+                rest, quoted = rest[m.end() :], not m[1]
+            if not quoted:
+                rest = TEXT.sub("", rest)
+                if at := rest.count('"'):
+                    rest, quoted = rest[: rest.index('"')], at > 0
+                depth += rest.count("{") + rest.count("[") - rest.count("]") - (not quoted)
+            if not quoted and depth == 1 and size >= CHUNK:
+                yield from between(False)
+                held, size = [], 0
+        ahead = piece
+    if not ended:
+        if ahead is not None and not quoted and depth == 1 and held:
+            yield from between(False)
+        return
+    held.append(ahead or "")
+    yield from between(True)
+
+
 def records(text: str, lines: bool) -> Iterator:
     """The objects of a line, or of an array; a Bad in place of one that isn't an object."""
     if lines:

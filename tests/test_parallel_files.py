@@ -1,6 +1,9 @@
-"""Files that tasks write side by side."""
+"""Files that tasks write side by side, and large files that are read in pieces."""
 
 import io
+import json
+import random
+from itertools import chain
 
 import pytest
 from pyspark.sql import DataFrame
@@ -57,3 +60,55 @@ def test_no_row_goes_through_the_driver(spark, data, tmp_path, monkeypatch, name
     assert not distributed.reachable(spark, "../x.csv", str(tmp_path))
     assert distributed.reachable(spark, "x.csv", str(tmp_path))
     assert queries.QUERIES[name](spark, data).count() > 0
+
+
+def test_array_in_pieces():
+    """Cut at its braces, an array has the elements that it has as a whole, or is as wrong; each comes as soon as it is whole."""
+    from pipewright.errors import LoadError
+    from pipewright.sources import json as source
+
+    def result(f):
+        try:
+            return list(f())
+        except LoadError:
+            return None
+
+    dice = random.Random(1)
+
+    def value(depth=0):
+        return dice.choice([lambda: 7, lambda: None, lambda: dice.choice(['}', '{"', "\\", "],[", "é"]), lambda: [value(depth + 1) for _ in range(dice.randrange(max(1, 3 - depth)))], lambda: {dice.choice('ab}"'): value(depth + 1) for _ in range(dice.randrange(max(1, 4 - depth)))}])()
+
+    for i in range(4000):
+        text = json.dumps([value() for _ in range(dice.randrange(5))], indent=dice.choice([None, 2]))
+        if i % 2:
+            k = dice.randrange(len(text) + 1)
+            text = text[:k] + dice.choice('[]{},"\\ 1') + text[k:] if i % 4 == 1 else text[:k] + text[k + 1 :]
+        if not text.endswith("}"):
+            source.CHUNK, kept = dice.choice([1, 30]), source.CHUNK
+            try:
+                assert result(lambda: source.elements(text.split("}"), "f")) == result(lambda: source.JsonSource.array(text, "f")), text
+            finally:
+                source.CHUNK = kept
+
+    def endless():
+        raise AssertionError("read to its end")
+        yield
+
+    pieces = chain(['[{"a": [{"b": 1', "]"], [', {"a": "' + "x" * 50_000 + '"'] * 8, endless())
+    assert next(source.elements(pieces, "f")) == {"a": [{"b": 1}]}
+
+
+def test_large_array_is_read_in_pieces(spark, tmp_path, monkeypatch):
+    from pipewright.errors import LoadError
+    from pipewright.sources import json as source
+
+    monkeypatch.setattr(source, "WHOLE", 0)
+    rows = [{"a": i, "s": f'}}"{{\\ {i}', "r": {"x": [{"y": i}]}} for i in range(3000)]
+    (tmp_path / "a.json").write_text(json.dumps(rows[:2500]))
+    (tmp_path / "b.json").write_text(json.dumps(rows[2500:], indent=1))
+    for options in ("", " with infer_rows=-1", " with infer_rows=5"):
+        got = run(spark, f"{tmp_path}/*.json{options} | select a, s", ordered=True).collect()
+        assert [tuple(r) for r in got] == [(r["a"], r["s"]) for r in rows]
+    (tmp_path / "b.json").write_text(json.dumps(rows) + "}")
+    with pytest.raises(LoadError, match="not one array"):
+        run(spark, f"{tmp_path}/*.json with infer_rows=5 | count").collect()
