@@ -6,8 +6,10 @@ import os
 import re
 import uuid
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, groupby, pairwise
+from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
@@ -22,7 +24,7 @@ from ..sources.files import hadoop, remote
 from ..sources.options import has_shared_folder, shared_folder
 from ..types import LType, Schema
 from .files import existing_parts, parts_pattern, put_in_place, target
-from .writers import WRITERS, avro_schema, check_binary, join_parts, write_part
+from .writers import WRITERS, avro_schema, check_binary, join_parts, parquet_body, write_part
 
 MADE = "part long, path string"
 
@@ -51,6 +53,16 @@ def tuples(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple]:
         yield from zip(*[batch.column(i).to_pylist() for i in range(width)], strict=True) if width else [()] * batch.num_rows
 
 
+def runs(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Stretches of rows that are alike in column ``at``, cut from batches."""
+    for batch in batches:
+        column = batch.column(at).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(column)) + 1).tolist(), batch.num_rows]
+        for a, b in pairwise(cuts):
+            if a < b:
+                yield int(column[a]), batch.slice(a, b - a)
+
+
 def read_back(path: str):
     if remote(path):
         system, name = fs.FileSystem.from_uri(path)
@@ -110,20 +122,13 @@ def many_files(state: State, schema: Schema, form: str, stage: str, rows: int) -
     table = table.repartition("__part").sortWithinPartitions("__part", "__i")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ahead = ((r[width], r[:width]) for r in tuples(batches, width + 1))
-        row = next(ahead, None)
-        while row is not None:
-            number = row[0]
-
-            def own() -> Iterator[tuple]:
-                nonlocal row
-                while row is not None and row[0] == number:  # noqa: B023
-                    yield row[1]
-                    row = next(ahead, None)
-
+        for number, own in groupby(runs(batches, width), key=itemgetter(0)):
             path = f"{stage}/{uuid.uuid4().hex}"
             with opened(path) as out:
-                WRITERS[form](own(), schema, out)
+                if form == "parquet":
+                    parquet_body((b for _, b in own), schema, out)
+                else:
+                    WRITERS[form](tuples((b for _, b in own), width), schema, out)
             yield pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int64()), "path": [path]})
 
     return table.mapInArrow(run, MADE)

@@ -112,3 +112,10 @@ def test_large_array_is_read_in_pieces(spark, tmp_path, monkeypatch):
     (tmp_path / "b.json").write_text(json.dumps(rows) + "}")
     with pytest.raises(LoadError, match="not one array"):
         run(spark, f"{tmp_path}/*.json with infer_rows=5 | count").collect()
+
+
+def test_rows_of_a_file_are_cut_from_batches():
+    import pyarrow as pa
+
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(len(n))), "n": pa.array(n, pa.int64())}) for n in ([1, 1, 2], [], [2, 3, 3, 3], [5])]
+    assert [(n, b.column(0).to_pylist()) for n, b in distributed.runs(iter(batches), 1)] == [(1, [0, 1]), (2, [2]), (2, [0]), (3, [1, 2, 3]), (5, [0])]
