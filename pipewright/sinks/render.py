@@ -5,11 +5,16 @@ from __future__ import annotations
 import datetime
 import json
 import math
+import re
+from collections.abc import Callable
 from decimal import Decimal
+from json.encoder import encode_basestring
 
 from ..errors import WriteError
 from ..types import LType, Schema
 
+ESCAPED = re.compile("[<>&\u2028\u2029]")
+
 
 def decimal(x: float) -> tuple[str, str, int]:
     """Sign, shortest digits without zeros around them, and where the point stands among them."""
@@ -133,8 +138,8 @@ def dump(value, indent: str | None = None, level: int = 0) -> str:
         return float_json(value)
     if type(value) is int:
         return str(value)
-    out = json.dumps(value, ensure_ascii=False)
-    if isinstance(value, str):
+    out = encode_basestring(value) if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    if isinstance(value, str) and ESCAPED.search(out):
         for c in "<>&  ":
             out = out.replace(c, f"\\u{ord(c):04x}")
     return out
@@ -147,6 +152,17 @@ def _wrapped(left: str, items: list[str], right: str, indent: str | None, level:
     return left + pad + ("," + pad).join(items) + "\n" + indent * level + right
 
 
+def json_text(schema: Schema, indent: str | None = None, level: int = 0) -> Callable:
+    """``dump`` of ``json_row``, for many rows of one schema."""
+    pad = "" if indent is None else "\n" + indent * (level + 1)
+    columns = sorted({n: (i, t) for i, (n, t) in enumerate(schema)}.items())
+    if not columns:
+        return lambda row: "{}"
+    texts = [(pad + dump(n) + (":" if indent is None else ": "), i, {"int": str, "float": lambda v: float_json(float(v)), "string": dump}.get(t.kind, lambda v, t=t: dump(json_value(v, t), indent, level + 1))) for n, (i, t) in columns]
+    end = "}" if indent is None else "\n" + indent * level + "}"
+    return lambda row: "{" + ",".join([name + ("null" if (v := row[i]) is None else f(v)) for name, i, f in texts]) + end
+
+
 def json_row(row, schema: Schema) -> dict:
     return {n: json_value(row[i], t) for i, (n, t) in enumerate(schema)}
 

@@ -129,7 +129,7 @@ class CsvSource(Prepared):
         if unknown := [s for s in self.shards if s.split is None]:
             # a line with an odd number of quotes: cells of that file hold line ends, so no task may begin inside it
             quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-            lines = scan(self.spark, lambda: self.spark.read.text([s.path for s in unknown])).select(origin().alias("file"), (quotes % 2 == 1).alias("odd"))
+            lines = scan(self.spark, lambda: self.spark.read.text([s.path for s in unknown]), origin().alias("file"), (quotes % 2 == 1).alias("odd"))
             odd = {x for r in lines.where("odd").select("file").distinct().collect() for x in and_above(r[0])}
             for s in unknown:
                 s.split = not odd or named(self.spark, s.path) not in odd
@@ -147,7 +147,7 @@ class CsvSource(Prepared):
             header=str(shard.header).lower(), sep=o.delim, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN,
             ignoreLeadingWhiteSpace="true", enforceSchema="true", columnPruning="false", multiLine=str(not shard.split).lower(),
         )
-        df = scan(self.spark, lambda: reader.csv([s.path for s in shards])).select("*", origin().alias("__file"), F.monotonically_increasing_id().alias("__row"))
+        df = scan(self.spark, lambda: reader.csv([s.path for s in shards]), "*", origin().alias("__file"), F.monotonically_increasing_id().alias("__row"))
         if o.allow_jagged_rows and o.ignore_unknown_values:
             return df
         broken = F.col(BROKEN)

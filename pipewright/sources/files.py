@@ -142,12 +142,20 @@ def and_above(path: str) -> list[str]:
     return [path, *[path[: m.start()] for m in re.finditer("/+", path) if m.start() > 0]]
 
 
-def scan(spark: SparkSession, read: Callable[[], DataFrame]) -> DataFrame:
-    """A read of many files. Spark lists them in a job with a task for each path; a few for each core do."""
+#: Tasks of a scan of many files: so many for each core, or one for so many bytes if those are more.
+TASKS, TASK_BYTES = 16, 1 << 26
+
+
+def scan(spark: SparkSession, read: Callable[[], DataFrame], *columns: Column | str) -> DataFrame:
+    """Columns of a read of many files. Spark lists them in a job with a task for each path, and reads a few small files in a
+    task; some tasks for each core do. Row ids among the columns are made before tasks are joined, so they rise within a file."""
     key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(int(before), 4 * spark.sparkContext.defaultParallelism)))
+    before, cores = spark.conf.get(key), spark.sparkContext.defaultParallelism
+    spark.conf.set(key, str(min(int(before), 4 * cores)))
     try:
-        return read()
+        df = read()
     finally:
         spark.conf.set(key, before)
+    out, plan = df.select(*columns), df._jdf.queryExecution().optimizedPlan()
+    tasks = max(TASKS * cores, int(str(plan.stats().sizeInBytes())) // TASK_BYTES)
+    return out if len(df._jdf.inputFiles()) <= tasks else out.coalesce(tasks)

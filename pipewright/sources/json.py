@@ -30,6 +30,7 @@ from .files import beginning, last_byte, lengths, origin, scan
 #: A JSON file of up to so many bytes is parsed as a whole; of a larger one, text of so many characters at a time.
 WHOLE, CHUNK = 1 << 22, 1 << 16
 END, SPACE = "}", " \t\n\r"
+SHAPES = 1000  # of records that inference knows at a time
 TEXT = re.compile(r'"(?:[^"\\]|\\.)*+"', re.S)
 REST = re.compile(r'(?:[^"\\]|\\.)*+("?)', re.S)
 
@@ -191,8 +192,7 @@ class JsonSource(Prepared):
         """Scans of (file, row, value), and whether values are whole: a record's text each, or a small file's array; or what
         ends at each closing brace of larger arrays, all of a file in one task, in order. Row numbers rise within a file."""
         def read(paths: list[str], **how) -> DataFrame:
-            df = scan(self.spark, lambda: self.spark.read.text(paths, **how))
-            return df.select(origin().alias("__file"), F.monotonically_increasing_id().alias("__row"), "value")
+            return scan(self.spark, lambda: self.spark.read.text(paths, **how), origin().alias("__file"), F.monotonically_increasing_id().alias("__row"), "value")
 
         if self.lines:
             return [(read(self.paths), True)]
@@ -217,15 +217,25 @@ class JsonSource(Prepared):
                     return pa.RecordBatch.from_pydict({"file": pa.array([at[0]], pa.string()), "row": [at[1]], "type": pa.array([cloudpickle.dumps(t)], pa.binary()), "bad": pa.array([bad], pa.int64())})
 
                 t, bad, at = None, 0, None
+                known: set[tuple] = set()  # shapes that leave the type as it is
                 for file, row, value in values(batches, lines, whole):
                     if at and at[0] != file:
                         yield part()
                         t, bad, at = None, 0, None
+                        known.clear()
                     at = at or (file, row)
                     try:
                         if isinstance(value, Bad):
                             raise value
-                        t = merge(t, type_of(value))
+                        kinds = tuple(map(type, value.values()))
+                        shape = None if list in kinds or dict in kinds else (tuple(value), kinds)
+                        if shape in known:
+                            continue
+                        before, t = t, merge(t, type_of(value))
+                        if before != t:
+                            known.clear()
+                        elif shape is not None and len(known) < SHAPES:
+                            known.add(shape)
                     except (Bad, TypeConflict):
                         bad += 1
                 if at:

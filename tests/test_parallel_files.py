@@ -114,6 +114,59 @@ def test_large_array_is_read_in_pieces(spark, tmp_path, monkeypatch):
         run(spark, f"{tmp_path}/*.json with infer_rows=5 | count").collect()
 
 
+@pytest.mark.parametrize("form", ["json"])
+def test_many_files_are_read_by_some_tasks(spark, tmp_path, monkeypatch, form):
+    """As many small files as there are, tasks are some for each core; first bytes of local files need no JVM."""
+    from pipewright.cli import execute
+    from pipewright.sources import files
+
+    rows = [(i, f"t{i}") for i in range(400)]
+    spark.createDataFrame(rows, "a long, s string").coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
+    execute(spark, f"{tmp_path}/in.parquet | {form} with split_rows=4 to {tmp_path}/x-{{n}}.{form}", None)
+    inside = files.beginning
+
+    def look(spark, path, n):
+        assert form == "json", "read through the JVM"
+        return inside(spark, path, n)
+
+    monkeypatch.setattr(files, "beginning", look)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        options = " with infer_rows=-1" if form != "avro" else ""
+        df = run(spark, f"{tmp_path}/*.{form}{options}")
+        assert df.rdd.getNumPartitions() <= files.TASKS * spark.sparkContext.defaultParallelism < 100
+        assert sorted(tuple(r) for r in df.collect()) == rows
+        names = sorted(range(1, 101), key=str)  # files in order of their names, each in its own
+        got = run(spark, f"{tmp_path}/*.{form}{options}", ordered=True).collect()
+        assert [r["a"] for r in got] == [4 * (n - 1) + k for n in sorted(names, key=lambda n: f"x-{n}.") for k in range(4)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_json_text_of_many_rows():
+    from pipewright.sinks.render import dump, json_row, json_text
+    from pipewright.types import LType, list_of
+
+    schema = [("b", LType("int", True)), ("a<", LType("string", True)), ("f", LType("float", True)), ("l", list_of(LType("int"))), ("t", LType("bool", True)), ("é", LType("record", fields=(("x", LType("float", True)),)))]
+    rows = [
+        (1, 'q"<\u2028\n\\&é\x01\x7f', 0.1, [1, 2], True, {"x": 1e30}), (None, None, None, [], None, {"x": None}), (-(2**63), "", -0.0, [3], False, {"x": 2.0}),
+        (7, "\U0001f600", 1e21, [], True, {"x": 1e-7}),
+    ]
+    for width in range(len(schema) + 1):
+        for how in ((), ("  ", 1)):
+            text = json_text(schema[:width], *how)
+            assert [text(r) for r in rows] == [dump(json_row(r, schema[:width]), *how) for r in rows]
+
+
+def test_types_of_all_records(spark, tmp_path):
+    """Records of a shape that is known still count where the type has changed in between."""
+    lines = ['{"a": 1}', '{"a": 1}', '{"a": 2}', '{"a": 1.5, "b": null}', '{"a": 3}', '{"b": "x"}', '{"b": "y"}', '{"a": 4}', '{"a": 4, "c": [1]}', '{"c": []}']
+    for k in range(len(lines)):
+        (tmp_path / f"{k}.jsonl").write_text("\n".join(lines[k:] + lines[:k]) + "\n")
+        schema = dict(plan(spark, f"{tmp_path}/{k}.jsonl with infer_rows=-1").schema)
+        assert {n: str(t) for n, t in schema.items()} == {"a": "float?", "b": "string?", "c": "list<int>?"}, k
+
+
 def test_rows_of_a_file_are_cut_from_batches():
     import pyarrow as pa
 
