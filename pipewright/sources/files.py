@@ -97,9 +97,18 @@ def beginning(spark: SparkSession, path: str, n: int) -> tuple[bytes, bool]:
 
 
 def beginnings(spark: SparkSession, paths: list[str], n: int = 1 << 16) -> list[tuple[bytes, bool]]:
-    """Of many files, without a job."""
+    """Of many files, without a job. Plain files of a local path are opened here: the JVM takes several calls for each."""
+    here = hadoop(spark, "/")[1].getUri().getScheme() == "file"
+
+    def look(path: str) -> tuple[bytes, bool]:
+        if here and os.path.isabs(path) and os.path.splitext(path)[1].lower() not in {*UNPACKED, *CODECS} and os.path.isfile(path):
+            with open(path, "rb") as file:
+                data = file.read(n)
+            return data, len(data) < n
+        return beginning(spark, path, n)
+
     with ThreadPoolExecutor(16) as pool:
-        return list(pool.map(lambda path: beginning(spark, path, n), paths))
+        return list(pool.map(look, paths))
 
 
 def lengths(spark: SparkSession, paths: list[str]) -> list[int | None]:

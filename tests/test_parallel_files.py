@@ -114,7 +114,7 @@ def test_large_array_is_read_in_pieces(spark, tmp_path, monkeypatch):
         run(spark, f"{tmp_path}/*.json with infer_rows=5 | count").collect()
 
 
-@pytest.mark.parametrize("form", ["json"])
+@pytest.mark.parametrize("form", ["json", "avro", "csv"])
 def test_many_files_are_read_by_some_tasks(spark, tmp_path, monkeypatch, form):
     """As many small files as there are, tasks are some for each core; first bytes of local files need no JVM."""
     from pipewright.cli import execute
