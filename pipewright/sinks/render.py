@@ -152,13 +152,18 @@ def _wrapped(left: str, items: list[str], right: str, indent: str | None, level:
     return left + pad + ("," + pad).join(items) + "\n" + indent * level + right
 
 
-def json_text(schema: Schema, indent: str | None = None, level: int = 0) -> Callable:
-    """``dump`` of ``json_row``, for many rows of one schema."""
+def json_texts(schema: Schema, indent: str | None = None, level: int = 0) -> list[tuple[str, int, Callable]]:
+    """For each column in the order of names: what comes before its value, where it is, and the text of a value that isn't null."""
     pad = "" if indent is None else "\n" + indent * (level + 1)
     columns = sorted({n: (i, t) for i, (n, t) in enumerate(schema)}.items())
-    if not columns:
+    return [(pad + dump(n) + (":" if indent is None else ": "), i, {"int": str, "float": lambda v: float_json(float(v)), "string": dump}.get(t.kind, lambda v, t=t: dump(json_value(v, t), indent, level + 1))) for n, (i, t) in columns]
+
+
+def json_text(schema: Schema, indent: str | None = None, level: int = 0) -> Callable:
+    """``dump`` of ``json_row``, for many rows of one schema."""
+    texts = json_texts(schema, indent, level)
+    if not texts:
         return lambda row: "{}"
-    texts = [(pad + dump(n) + (":" if indent is None else ": "), i, {"int": str, "float": lambda v: float_json(float(v)), "string": dump}.get(t.kind, lambda v, t=t: dump(json_value(v, t), indent, level + 1))) for n, (i, t) in columns]
     end = "}" if indent is None else "\n" + indent * level + "}"
     return lambda row: "{" + ",".join([name + ("null" if (v := row[i]) is None else f(v)) for name, i, f in texts]) + end
 

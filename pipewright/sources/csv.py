@@ -15,7 +15,8 @@ from ..errors import LoadError
 from ..operators.state import State, quoted
 from ..types import LType, Schema
 from . import Prepared
-from .files import and_above, beginning, beginnings, named, origin, scan
+from .files import and_above, beginning, beginnings, decoded, location, named, origin, scan
+from .records import read_cut, surveyed
 
 BROKEN = "__broken"
 LONGEST = 1 << 25  # bytes of a file that the driver looks at for its first row
@@ -26,8 +27,10 @@ BOOL = r"^(?i:true|false)$"
 
 def cell(c: Column) -> Column:
     """Trimmed text; empty and null in any case are null, quoted or not."""
-    t = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when((t != "") & (F.lower(t) != "null"), t)
+    plain = F.trim(c, F.lit(" \t\n\x0b\f\r"))
+    last = c.endswith("\x85") | c.endswith("\u2028") | c.endswith("\u2029")  # which the pattern takes for line ends
+    t = F.when(last, F.regexp_replace(c, r"^\s+|\s+$", "")).otherwise(plain)
+    return F.when((t != "") & ((F.octet_length(t) != 4) | (F.lower(t) != "null")), t)
 
 
 def converted(t: Column, kind: str) -> Column:
@@ -37,7 +40,7 @@ def converted(t: Column, kind: str) -> Column:
     if kind == "float":
         low = F.lower(F.ltrim(F.lit("+"), t))
         word = F.when(low.rlike("^inf"), F.lit(float("inf"))).when(low.rlike("^-inf"), F.lit(float("-inf"))).when(low.rlike("nan$"), F.lit(float("nan")))
-        return F.when(t.rlike(FLOAT), F.coalesce(word, t.try_cast("double")))
+        return F.when(t.rlike(FLOAT), F.coalesce(t.try_cast("double"), word))
     if kind == "bool":
         return F.when(t.rlike(BOOL), F.lower(t) == "true")
     return t
@@ -54,13 +57,14 @@ def widths(delim: str):
 
 @dataclass
 class Shard:
-    """One file: its columns in their order, whether its first line is a header, and whether it is ``split`` between tasks
-    (None: not known yet)."""
+    """One file: its columns in their order, whether its first line is a header, and whether it is ``split`` between tasks at
+    any line end (None: not known yet), or ``cut`` at those outside quotes."""
 
     path: str
     columns: list[str]
     header: bool
     split: bool | None = None
+    cut: bool = False
 
 
 class CsvSource(Prepared):
@@ -129,18 +133,31 @@ class CsvSource(Prepared):
         if unknown := [s for s in self.shards if s.split is None]:
             # a line with an odd number of quotes: cells of that file hold line ends, so no task may begin inside it
             quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-            lines = scan(self.spark, lambda: self.spark.read.text([s.path for s in unknown]), origin().alias("file"), (quotes % 2 == 1).alias("odd"))
-            odd = {x for r in lines.where("odd").select("file").distinct().collect() for x in and_above(r[0])}
+            lines = scan(self.spark, lambda: self.spark.read.text([s.path for s in unknown]), location().alias("file"), (quotes % 2 == 1).alias("odd"))
+            odd = {x for r in lines.where("odd").select("file").distinct().collect() for x in and_above(decoded(r[0]))}
             for s in unknown:
                 s.split = not odd or named(self.spark, s.path) not in odd
+            self.survey([s for s in unknown if not s.split])
         out: dict[tuple, list[Shard]] = {}
         for s in self.shards:
-            out.setdefault((tuple(s.columns), s.header, s.split), []).append(s)
+            out.setdefault((tuple(s.columns), s.header, s.split, s.cut), []).append(s)
         return list(out.values())
 
-    def read(self, shards: list[Shard]) -> DataFrame:
+    def survey(self, shards: list[Shard]) -> None:
+        """How files whose cells hold line ends can be cut between tasks, those that can."""
+        delim = self.options.delim
+        if not shards or not delim.isascii() or not delim.isprintable() and delim != "\t" or delim in '" ':
+            return
+        self.cut = surveyed(self.spark, [s.path for s in shards], delim)
+        irregular = {x for f in self.cut.irregular for x in and_above(f)}
+        for s in shards:
+            s.cut = named(self.spark, s.path) not in irregular
+
+    def read(self, shards: list[Shard], ordered: bool) -> DataFrame:
         """All cells as text, and the file and row they are from. A line of another width than the header's fails, unless an option allows it."""
         o, shard = self.options, shards[0]
+        if shard.cut:
+            return self.checked(self.read_cut(shards, ordered), shard)
         fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(shard.columns))]
         schema = T.StructType([*fields, T.StructField(BROKEN, T.StringType())])
         reader = self.spark.read.schema(schema).options(
@@ -148,6 +165,16 @@ class CsvSource(Prepared):
             ignoreLeadingWhiteSpace="true", enforceSchema="true", columnPruning="false", multiLine=str(not shard.split).lower(),
         )
         df = scan(self.spark, lambda: reader.csv([s.path for s in shards]), "*", origin().alias("__file"), F.monotonically_increasing_id().alias("__row"))
+        return self.checked(df, shard)
+
+    def read_cut(self, shards: list[Shard], ordered: bool) -> DataFrame:
+        own = {named(self.spark, s.path) for s in shards}
+        files = {f for f, _ in self.cut.states if own & set(and_above(f))}
+        width = len(shards[0].columns)
+        return read_cut(self.cut, files, width, shards[0].header, self.options.delim, [*(f"c{i}" for i in range(width)), BROKEN, "__file", "__row"], ordered)
+
+    def checked(self, df: DataFrame, shard: Shard) -> DataFrame:
+        o = self.options
         if o.allow_jagged_rows and o.ignore_unknown_values:
             return df
         broken = F.col(BROKEN)
@@ -161,7 +188,7 @@ class CsvSource(Prepared):
         return df.where(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(message).cast("boolean")).otherwise(F.lit(True)))
 
     def cells(self, shards: list[Shard], ordered: bool) -> DataFrame:
-        df = self.read(shards)
+        df = self.read(shards, ordered)
         at = {n: i for i, n in enumerate(shards[0].columns)}
         names = [n for n, _ in self.schema] if hasattr(self, "schema") else list(at)
         columns = [cell(F.col(f"c{at[n]}")).alias(n) if n in at else F.lit(None).cast("string").alias(n) for n in names]

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from urllib.parse import unquote
 
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -139,6 +140,16 @@ def origin() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
 
 
+def location() -> Column:
+    """The file that a row of a scan is from, as a URI, which costs nothing for a row."""
+    return F.col("_metadata.file_path")
+
+
+def decoded(uri: str) -> str:
+    """What ``origin`` gives for a ``location``."""
+    return unquote(uri)
+
+
 def named(spark: SparkSession, path: str) -> str:
     """A path with its file system, as ``and_above`` writes it."""
     p, system = hadoop(spark, path)

@@ -172,3 +172,109 @@ def test_rows_of_a_file_are_cut_from_batches():
 
     batches = [pa.RecordBatch.from_pydict({"x": list(range(len(n))), "n": pa.array(n, pa.int64())}) for n in ([1, 1, 2], [], [2, 3, 3, 3], [5])]
     assert [(n, b.column(0).to_pylist()) for n, b in distributed.runs(iter(batches), 1)] == [(1, [0, 1]), (2, [2]), (2, [0]), (3, [1, 2, 3]), (5, [0])]
+
+
+def test_line_ends_in_cells_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    """However a file is cut, its records are those that one task finds; and files that can't be cut are left to one task."""
+    from pipewright.sources import csv as source
+    from pipewright.sources import records
+
+    dice = random.Random(3)
+
+    def made(rows, odd=""):
+        cell = lambda: dice.choice(["", "a", " b ", "7", "null", '""', '"x\ny"', '"\n"', '"q"",\n""\n"', '"é\n\n, "', '"' + "long\n" * dice.randrange(40) + '"'])
+        lines = [",".join([str(i), cell(), cell()]) + "\n" * dice.choice([1, 1, 1, 2]) for i in range(rows)]
+        return 'n,"b\nb",c\n' + "".join(lines[: rows // 2]) + odd + "".join(lines[rows // 2 :])
+
+    def read(path, options, **how):
+        before = len(calls)
+        rows = run(spark, f"{tmp_path}/{path} with infer_rows=0{options}", **how).collect()
+        return rows, len(calls) > before
+
+    calls, inside = [], source.read_cut
+    monkeypatch.setattr(source, "read_cut", lambda *a: calls.append(df := inside(*a)) or df)
+    (tmp_path / "a-1.csv").write_text(made(150))
+    (tmp_path / "a-2.csv").write_text(made(60).removesuffix("\n"))
+    (tmp_path / "a-3.csv").write_text("n,\"b\nb\",c\n1,2,3\n")
+    uneven = {"short.csv": made(60, '7,"\n"\n'), "wide.csv": made(60, '7,"\n",8,9\n')}
+    irregular = {"stray.csv": '7,5" x\n,8\n', "open.csv": '7,"\n', "return.csv": '7,"\r\n",8\n', "spaces.csv": '  \n7,"\n",8\n', "after.csv": '7,"\n" ,8\n', "long.csv": f'7,"{"x" * 9000}\n",8\n'}
+    for name, odd in irregular.items():
+        (tmp_path / name).write_text(made(40, odd))
+    for name, text in uneven.items():
+        (tmp_path / name).write_text(text)
+    jagged = ", allow_jagged_rows=true, ignore_unknown_values=true"
+    monkeypatch.setattr(records, "LONG", 1 << 13)
+
+    def everything():
+        out = {p: read(p, "", ordered=True) for p in ("a-1.csv", "a-*.csv")}
+        out |= {p: read(p, jagged, ordered=True) for p in [*uneven, *irregular]}
+        out["rows"] = read("a-1.csv", ", header=false", ordered=True)
+        for p, option in (("short.csv", ", ignore_unknown_values=true"), ("wide.csv", ", allow_jagged_rows=true")):
+            with pytest.raises(Exception, match="does not have 3 cells"):
+                read(p, option)
+        return out
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1200")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        cut = everything()
+        with monkeypatch.context() as m:
+            m.setattr(source.CsvSource, "survey", lambda self, shards: None)
+            whole = everything()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert {k: v[0] for k, v in cut.items()} == {k: v[0] for k, v in whole.items()}
+    assert len(cut["a-1.csv"][0]) == 150 and len(cut["rows"][0]) == 151
+    assert {k: v[1] for k, v in cut.items()} == {k: k not in irregular for k in cut}
+    assert not any(v[1] for v in whole.values()) and min(df.rdd.getNumPartitions() for df in calls) > 2
+
+
+def test_a_split_inside_one_cell():
+    """Splits without any record's end, and one that looks right either way."""
+    import pyarrow as pa
+
+    from pipewright.sources import records
+
+    text = '1,"a\nb\nc\nd"\n2,"\n,\n"\n3,x\n'.removesuffix("\n").split("\n")
+    for size in range(1, len(text) + 1):
+        batches = [pa.RecordBatch.from_pydict({"file": ["f"], "start": [i - i % size], "row": [i], "value": [x]}) for i, x in enumerate(text)]
+        rows = sorted((r for b in records.survey(",")(iter(batches)) for r in b.to_pylist()), key=lambda r: (r["start"], r["state"]))
+        rows[0]["whole"] = 1
+        states, between = records.follow("f", rows)
+        assert states is not None and set(states) == {("f", i) for i in range(0, len(text), size)}
+        inside = [0, 1, 1, 1, 0, 1, 1, 0]
+        assert all(inside[i] == s for (_, i), s in states.items())
+        starts = {0: 1, 4: 2, 7: 3}
+        ends = {0: 3, 4: 6, 7: 7}
+        assert [(r, t[0]) for _, r, t in between] == [(i, str(n)) for i, n in starts.items() if i // size != ends[i] // size]
+
+
+@pytest.mark.parametrize("form", ["csv", "jsonl"])
+@pytest.mark.parametrize("size", [1, 1 << 26])
+def test_text_of_batches_is_that_of_rows(monkeypatch, form, size):
+    import datetime
+
+    import pyarrow as pa
+
+    from pipewright.sinks import writers
+    from pipewright.types import LType, list_of
+
+    monkeypatch.setattr(writers, "TEXT_BYTES", size)
+    made = {
+        "i": (LType("int", True), pa.int32(), [None, -5, 7]), "f": (LType("float", True), pa.float64(), [0.0, -0.0, None, 1e21, 1e-7, 0.1, 2.0]),
+        "s": (LType("string", True), pa.string(), ["", None, "a", '"', "a,b", "x\ny", "\r", "é<&>\u2028", " a", "null", "\x01"]),
+        "b": (LType("bool", True), pa.bool_(), [True, None, False]), "d": (LType("date", True), pa.date32(), [datetime.date(2020, 1, 2), None]),
+        "<l": (list_of(LType("int")), pa.list_(pa.int64()), [[], [1, 2], None]),
+    }
+    for names in (list(made), *([n] for n in made)):
+        schema = [(n, made[n][0]) for n in names]
+        batches = [pa.RecordBatch.from_arrays([pa.array([made[n][2][k % len(made[n][2])] for k in range(rows)], made[n][1]) for n in names], names=names) for rows in (40, 0, 3)]
+        rows, together = io.BytesIO(), io.BytesIO()
+        {"csv": writers.csv_body, "jsonl": writers.write_jsonl}[form](distributed.tuples(iter(batches), len(names)), schema, rows)
+
+        def unused(_):
+            raise AssertionError("written row by row")
+
+        writers.write_part(iter(batches), unused, form, schema, together, b"")
+        assert together.getvalue() == rows.getvalue()
