@@ -15,6 +15,8 @@ from itertools import groupby, islice
 from operator import itemgetter
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import json as pajson
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ from .files import beginning, last_byte, lengths, origin, scan
 #: A JSON file of up to so many bytes is parsed as a whole; of a larger one, text of so many characters at a time.
 WHOLE, CHUNK = 1 << 22, 1 << 16
 END, SPACE = "}", " \t\n\r"
+SCALARS = {"int": pa.int64(), "float": pa.float64(), "bool": pa.bool_(), "string": pa.string()}
 SHAPES = 1000  # of records that inference knows at a time
 TEXT = re.compile(r'"(?:[^"\\]|\\.)*+"', re.S)
 REST = re.compile(r'(?:[^"\\]|\\.)*+("?)', re.S)
@@ -126,6 +129,31 @@ def loosened(t: LType) -> LType:
     return LType(t.kind, True, tuple((n, loosened(x)) for n, x in t.fields), loosened(t.elem) if t.elem else None)
 
 
+#: A record of scalars whose text any JSON parser takes for the same values: no integer zero with a sign (0.0 or -0.0), no halves of
+#: surrogate pairs.
+QUOTED = r'"(?:[^"\\\x00-\x1f]|\\["\\/bfnrt]|\\u(?:[0-9abcefABCEF][0-9a-fA-F]{3}|[dD][0-7][0-9a-fA-F]{2}))*"'
+NUMBER = r"(?:(?:-?[1-9][0-9]*|0)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|-0(?:\.[0-9]+(?:[eE][+-]?[0-9]+)?|[eE][+-]?[0-9]+))"
+FIELD = rf"[ \t]*{QUOTED}[ \t]*:[ \t]*(?:{QUOTED}|{NUMBER}|true|false|null)[ \t]*"
+FLAT = rf"\A[ \t]*\{{(?:{FIELD}(?:,{FIELD})*|[ \t]*)\}}[ \t]*\z"
+
+
+def columns(lines: pa.Array, kept: Schema, strict: bool) -> list[pa.Array] | None:
+    """The columns of records of scalars, parsed together; None if one isn't plain or doesn't fit, which ``fitted`` tells more of."""
+    if lines.null_count or not pc.all(pc.match_substring_regex(lines, FLAT), min_count=0).as_py():
+        return None
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(lines)], pa.int32()), lines), "\n")[0].as_buffer()
+    made = pa.schema([(n, SCALARS[t.kind]) for n, t in kept])
+    how = pajson.ParseOptions(explicit_schema=made, unexpected_field_behavior="error" if strict else "ignore")
+    try:
+        table = pajson.read_json(pa.BufferReader(text), pajson.ReadOptions(use_threads=False, block_size=text.size + 1), how)
+    except pa.ArrowInvalid:
+        return None
+    found = [table.column(n).combine_chunks() for n, _ in kept]
+    if table.num_rows != len(lines) or any(c.null_count and not t.nullable for c, (_, t) in zip(found, kept, strict=True)):
+        return None
+    return found
+
+
 class JsonSource(Prepared):
     def __init__(self, spark: SparkSession, paths: list[str], options):
         self.spark, self.paths, self.options = spark, paths, options
@@ -265,9 +293,20 @@ class JsonSource(Prepared):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow = to_arrow_schema(schema)
+        plain = lines and bool(kept) and all(t.kind in SCALARS for _, t in kept)
 
         def run_of(whole: bool):
             def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                if plain:
+                    for batch in batches:
+                        if (found := columns(batch.column(2), kept, known is not None)) is not None:
+                            yield pa.RecordBatch.from_arrays([*found, batch.column(0), batch.column(1), pa.nulls(batch.num_rows, pa.string())], schema=arrow)
+                        else:
+                            yield from one_by_one(iter([batch]))
+                else:
+                    yield from one_by_one(batches)
+
+            def one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out = []
                 for file, row, value in values(batches, lines, whole):
                     made = {"__file": file, "__row": row, "__bad": None}
